@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, simhash
+from . import langid, packing, pii, simhash, wrapper
 from .common import table
 
 
@@ -40,11 +40,16 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op4_simhash": op4_simhash,
     "op7_langid": op7_langid,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
