@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, packing, pii, simhash, wrapper
+from . import ann, embedding_dedup, langid, licenses, linededup, mixing, packing, pii, simhash, wrapper
 from .common import table
 
 
@@ -40,6 +40,21 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even shares of sources; languages and topics after MIXTURE."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, MIXTURE).select("doc_id", "source", "lang", F.col("topic_used").alias("topic"), F.col("tokens_used").alias("tokens"), "probability", "kept")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.link(table(spark, sf_dir, "embeddings"), 0.9)
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -53,14 +68,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+#: Target shares of tokens; names without one get even shares.
+MIXTURE: dict[str, dict[str, float] | None] = {
+    "source": None,
+    "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15},
+    "topic": {"prose": 0.45, "long": 0.35, "contact": 0.07, "tabular": 0.05, "notice": 0.05, "brief": 0.03},
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_langid": op7_langid,
     "op8_ann": op8_ann,
+    "op9_linededup": op9_linededup,
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": licenses.summary_sql(),
+}
