@@ -224,7 +224,7 @@ def predict(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id"
                     where.clear()
 
             gathered = 0
-            for i, text in enumerate(b.column(b.num_columns - 1)):
+            for i, text in enumerate(b.column(where_text)):
                 text = text.as_py()
                 if network.langs and text and any(map(str.isalpha, text)):
                     texts.append(raw := text.encode("utf-8", "replace"))
@@ -234,8 +234,10 @@ def predict(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id"
                         settle()
                         gathered = 0
             settle()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    columns = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
+    own = "text" in keep and dict(docs.dtypes)["text"] == "string"
+    where_text = keep.index("text") if own else len(keep)
+    columns = docs.select(*keep) if own else docs.select(*keep, F.col("text").cast("string").alias("text read"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(keep)])
     return columns.mapInArrow(each, f"{schema}, lang_pred string, score double")

@@ -86,3 +86,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> Da
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
+    """docs without near-duplicates: of each component the row of its smallest doc_id stays, of repeated ids one row."""
+    first = F.lit(-(1 << 63))
+    found = near_duplicates(docs, threshold)
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", first).alias("winner")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), first)
+    kept = docs.select(key.alias("winner"), F.struct(*docs.columns).alias("row")).join(winners, "winner", "left_semi")
+    return kept.groupBy("winner").agg(F.first("row").alias("row")).select("row.*")
