@@ -61,6 +61,11 @@ def listed(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
     return [(name, g) for name in sorted(templates) for text in templates[name] if (g := bigrams(text))]
 
 
+def size_bounds(threshold: float) -> tuple[float, float]:
+    """The ratios of sizes that can reach the threshold, widened by more than rounding may take off."""
+    return threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\\n]+", " ")
 
@@ -68,7 +73,7 @@ def normalised(text: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, notices) of every row: an array of (dice, place, licence), one for each passage that matches."""
     known = listed(TEMPLATES if templates is None else templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = size_bounds(threshold)
     sizes = [len(g) for _, g in known]
     table = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for i, (_, g) in enumerate(known)])
     names, every = F.array(*[F.lit(n) for n, _ in known]), F.array(*map(F.lit, sorted({x for _, g in known for x in g})))
@@ -99,6 +104,7 @@ def summary(found: DataFrame) -> DataFrame:
 
 def summary_sql(templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> str:
     """The same for DuckDB."""
+    low, high = size_bounds(threshold)
     rows = ", ".join(f"({-i}, '{name}', [{', '.join(repr(x) for x in g)}])" for i, (name, g) in enumerate(listed(TEMPLATES if templates is None else templates)))
     return f"""
 WITH template(place, licence, grams) AS (VALUES {rows}),
@@ -112,7 +118,7 @@ worded AS (SELECT row_number() OVER () AS k, r, string_split(trim(regexp_replace
 grammed AS (SELECT k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) >= 2),
 scored AS (
   SELECT k, r, place, licence, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
-  FROM grammed, template WHERE len(g) BETWEEN len(grams) * {threshold / (2 - threshold)} AND len(grams) * {(2 - threshold) / threshold}
+  FROM grammed, template WHERE len(g) BETWEEN len(grams) * {low} AND len(grams) * {high}
 ),
 best AS (SELECT k, r, max(struct_pack(dice := dice, place := place, licence := licence)) AS b FROM scored WHERE dice >= {threshold} GROUP BY k, r),
 found AS (

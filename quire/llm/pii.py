@@ -3,9 +3,9 @@
 Candidates are the base matches of four kinds and looser forms of them (obfuscated addresses, numbers with neighbours
 run into them, numbers without a country code). Four labelers vote on each candidate: for (1), against (-1) or not at
 all (0): the strict pattern, a check of the value, a gazetteer of known prefixes and endings, and the words before it.
-Expectation-maximisation over the counts of vote patterns, taken from the whole corpus, estimates how each labeler votes
-on real and on false candidates; a logistic span classifier is then trained on the candidates' shapes and votes with the
-estimated probabilities as targets. Base matches stay whatever it says; other candidates are added where it is in
+Expectation-maximisation over the counts of vote patterns of each kind, taken from the whole corpus, estimates how each
+labeler votes on real and on false candidates; a logistic span classifier is then trained on the candidates' shapes and
+votes with the estimated probabilities as targets, every kind with the same weight. Base matches stay whatever it says; other candidates are added where it is in
 favour and nothing better overlaps. Only counts of (kind, votes, shape) reach the driver: bounded by the encoding.
 
 Defined results: null and empty texts have no spans; null doc_ids and repeated rows are rows like others; ties in
@@ -223,8 +223,12 @@ def detect(docs: DataFrame, least: float = 0.5) -> DataFrame:
     if counts:
         kind, code, shape, n = (np.array([r[i] for r in sorted(counts)]) for i in range(4))
         votes, x = unpack(kind, code, shape)
-        p, _ = label_model(votes, n.astype(float))
-        w = classifier(x, p, n.astype(float))
+        p, weight = np.empty(len(n)), np.empty(len(n))
+        for k in np.unique(kind):  # labelers differ by kind, and a rare kind must not drown among the others
+            of = kind == k
+            p[of], _ = label_model(votes[of], n[of].astype(float))
+            weight[of] = n[of] / n[of].sum()
+        w = classifier(x, p, weight)
         chance = dict(zip(zip(kind.tolist(), code.tolist(), shape.tolist()), (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()))
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
