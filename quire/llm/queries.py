@@ -89,5 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """
+WITH RECURSIVE fit AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(n, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.n, link.w FROM reach JOIN link ON link.u = reach.r),
+root AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+degree AS (SELECT u, count(*) AS n_links FROM link GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN root ON n = vec_id LEFT JOIN degree ON u = vec_id""",
     "op5_licenses": licenses.summary_sql(),
 }
