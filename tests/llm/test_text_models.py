@@ -234,3 +234,19 @@ def test_constant_slots_are_template(spark):
     assert by[20] == "same\n\ntext" and by[30] == by[31] == ""
     assert by[None].startswith("Head & tail")
     assert wrapper.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("names", "out"),
+    [("sidebar", True), ("main-sidebar", True), ("has-sidebar", False), ("post comments-open", False), ("comment-list", True), ("ad", True), ("address", False), ("reader", False), ("site-header top", True), ("formal", False), ("", False), ("cookie_bar", True)],
+)
+def test_names_of_no_content(names, out):
+    assert wrapper.no_content(names) is out
+
+
+def test_broken_markup():
+    assert wrapper.blocks('<div title="a>one</div><p>two', None) == ["one", "two"]
+    assert wrapper.blocks("<div class='notice'><article><p>kept</p></article></div>", None) == ["kept"]
+    assert wrapper.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>", None) == ["a", "b", "c"]
+    assert wrapper.blocks("<table><tr><td>a<td>b<tr><td>c</table>", None) == ["a", "b", "c"]
+    assert wrapper.blocks("a < b and c > d <br> e", None) == ["a < b and c > d e"]
