@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of 64 bits that a sketch of keys has at most (8 MB); more keys than it suits make more rows `maybe`, none wrong.
+WORDS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +56,26 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def sketch(keys: DataFrame, *columns: str, words: int = WORDS) -> Callable[..., Column]:
+    """A function of columns that is false only for values that no row of `keys` has.
+
+    Rows it is false for need no join, and so no shuffle of their texts. A bit for each key, ten bits a key or as many as
+    `words` allows; the bits are gathered where the keys are, and at most `words` words reach the driver.
+    """
+    size = min(words, 1 << max(6, (keys.count() * 10 // 64).bit_length())) * 64
+    at = keys.select(F.pmod(F.xxhash64(*columns), F.lit(size)).alias("b"))
+    found = at.selectExpr("shiftright(b, 6) as w", "shiftleft(1L, cast(b & 63 as int)) as x").groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[found["w"].to_numpy(np.int64)] = found["x"].to_numpy(np.int64).view(np.uint64)
+
+    def held(b: pd.Series) -> pd.Series:
+        b = b.to_numpy(np.int64)
+        return pd.Series((bits[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    maybe = F.pandas_udf(held, "boolean")
+    return lambda *c: maybe(F.pmod(F.xxhash64(*c), F.lit(size)))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))

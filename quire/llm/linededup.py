@@ -6,7 +6,7 @@ gap, from runs of neighbouring shared lines that lead to one document and togeth
 each pair, as hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal
 neighbours extend them; the gaps between anchors are aligned alike), and aligned common blocks of MIN_WORDS words or more
 are deleted from the later document. A hot line leads every document to one other, never to all that have it, so pairs
-grow with the input. Texts are not shuffled for the search; hashes are.
+grow with the input. Hashes are shuffled for the search; of the texts, only those that may lose lines.
 
 Defined results: white space round a line does not count, and lines of it alone neither lead anywhere nor are counted as
 words, though they go with a block round them; null texts stay null, empty ones empty; rows equal in doc_id and text are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sketch, staged
 
 MIN_WORDS, RARE = 25, 64
 
@@ -99,7 +99,8 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
     words = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+"))))
     lined = staged(docs.where("text is not null").select("k1", "k2", hashes.alias("hashes"), words.alias("words")).dropDuplicates(["k1", "k2"]), "lines")
     each = lined.select("k1", "k2", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x")).select("k1", "k2", "at", F.col("x.hashes").alias("line"), F.col("x.words").alias("n")).where("n > 0")
-    first = each.groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1")
+    # Written, so that the join below deals out both sides anew and a hot line's rows can be split.
+    first = staged(each.groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1"), "first")
     met = each.join(first, "line").where(F.struct("k1", "k2") > F.col("f"))
     # A run: neighbouring lines of one document that lead to one other.
     order = Window.partitionBy("k1", "k2", "f").orderBy("at")
@@ -124,9 +125,15 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: int = MIN
     """The columns `keep`, text without the deleted blocks, n_lines and n_deleted of every row of docs."""
     keyed = _key(docs.withColumn("text", F.col("text").cast("string")))
     gone = staged(blocks(keyed.select("k1", "k2", "text"), least, rare), "gone")
-    joined = keyed.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], "k1", "k2", F.col("text").alias("whole")).join(gone, ["k1", "k2"], "left")
+    rows = keyed.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], "k1", "k2", F.col("text").alias("whole"))
+    n_lines = F.coalesce(F.size(_lines(F.col("whole"))), F.lit(0)).cast("long")
+    kept = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
+    maybe = sketch(gone, "k1", "k2")(F.col("k1"), F.col("k2"))
+    # Only documents that may lose lines are dealt out with their texts.
+    whole = rows.where(~maybe).select(*kept, F.col("whole").alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"))
+    joined = rows.where(maybe).join(gone, ["k1", "k2"], "left")
     stays = F.filter(_lines(F.col("whole")), lambda x, i: ~F.exists("gone", lambda b: (i >= b["a"]) & (i <= b["z"])))
     text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(stays, "\n"))
-    counted = joined.withColumn("text", text).withColumn("n_lines", F.coalesce(F.size(_lines(F.col("whole"))), F.lit(0)))
-    left = F.when(F.col("gone").isNull(), F.col("n_lines")).otherwise(F.size(stays))
-    return counted.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "text", F.col("n_lines").cast("long"), (F.col("n_lines") - left).cast("long").alias("n_deleted"))
+    left = F.when(F.col("gone").isNull(), n_lines).otherwise(F.size(stays))
+    cut = joined.select(*kept, text.alias("text"), n_lines.alias("n_lines"), (n_lines - left).cast("long").alias("n_deleted"))
+    return whole.unionByName(cut)
