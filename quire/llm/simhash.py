@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, sketch, staged
 
 SEED = 42
 #: (first bit, bits, radius); 2 + 2 + 1 > 4 differing bits.
@@ -91,8 +91,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> Da
 def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """docs without near-duplicates: of each component the row of its smallest doc_id stays, of repeated ids one row."""
     first = F.lit(-(1 << 63))
-    found = near_duplicates(docs, threshold)
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", first).alias("winner")).distinct()
+    found = near_duplicates(docs, threshold).select(F.coalesce("doc_id", first).alias("winner"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("wins"))
+    ids = staged(found.groupBy("winner").agg(F.count("*").alias("n"), F.min("wins").alias("wins")), "ids")
     key = F.coalesce(F.col("doc_id").cast("long"), first)
-    kept = docs.select(key.alias("winner"), F.struct(*docs.columns).alias("row")).join(winners, "winner", "left_semi")
-    return kept.groupBy("winner").agg(F.first("row").alias("row")).select("row.*")
+    maybe = sketch(ids.where("n > 1 or not wins"), "winner")(key)
+    # Only rows that may have to go are dealt out with their texts.
+    doubtful = docs.where(maybe).select(key.alias("winner"), F.struct(*docs.columns).alias("row")).join(ids.where("wins"), "winner", "left_semi")
+    return docs.where(~maybe).unionByName(doubtful.groupBy("winner").agg(F.first("row").alias("row")).select("row.*"))
