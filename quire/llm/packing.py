@@ -14,7 +14,9 @@ like others; an empty table gives no pieces; texts of any length are tokenised w
 from __future__ import annotations
 
 import json
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -29,10 +31,40 @@ from .common import staged
 
 WINDOW, END = 1024, 0
 #: Chunks of text whose ids one worker remembers at most, and the longest that it remembers.
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 500_000, 48
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class _Odd(Exception):
+    """A chunk after which a space may not begin a pre-token."""
+
+
+def _raw(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Known(dict):
+    """Ids of chunks that follow a space; made where they are not yet known, and kept up to CACHE of them."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+        self.odd = {""}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[-1].isspace():
+            if len(self.odd) < CACHE:
+                self.odd.add(chunk)
+            raise _Odd
+        ids = _raw(self._encode(" " + chunk))
+        if len(self) < CACHE and len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers, for a byte-level BPE tokenizer file.
 
@@ -49,35 +81,17 @@ class Encoder:
         other = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and word != "<|endoftext|>"}
-        self._whole = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._known: dict[str, bytes] = {}
-        self._odd = {""}  # chunks that end in white space, or are empty: the space after them may not begin a pre-token
-
-    def _plain(self, text: str) -> bytes:
-        return self._whole.encode_to_numpy(text).astype("<u4").tobytes()
+        self._encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._known = _Known(self._encode)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        known = self._known
-        if not self._odd.isdisjoint(rest) or first[-1:].isspace():
-            return self._plain(text)
-        try:
-            return self._plain(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            pass
-        out = [self._plain(first)]
-        for chunk in rest:
-            ids = known.get(chunk)
-            if ids is None:
-                if chunk[-1].isspace():
-                    if len(self._odd) < CACHE:
-                        self._odd.add(chunk)
-                    return self._plain(text)
-                ids = self._plain(" " + chunk)
-                if len(known) < CACHE and len(chunk) <= LONGEST:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        if not first[-1:].isspace() and self._known.odd.isdisjoint(rest):
+            try:
+                return _raw(self._encode(first)) + b"".join(map(self._known.__getitem__, rest))
+            except _Odd:
+                pass
+        return _raw(self._encode(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
