@@ -32,6 +32,8 @@ from .common import staged
 WINDOW, END = 1024, 0
 #: Chunks of text whose ids one worker remembers at most, and the longest that it remembers.
 CACHE, LONGEST = 500_000, 48
+#: Documents whose pieces are held at once.
+ROWS = 1000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -114,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), Counter()
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(text.as_py() or "") + last
