@@ -2,8 +2,10 @@
 
 A text is lowered and all but ASCII letters and digits become spaces; its passages are its lines, and its paragraphs of
 more than one line. A passage and a template with a and b different word bigrams can reach Dice t only where
-t / (2 - t) <= a / b <= (2 - t) / t, and where they share a bigram: other templates are not compared. All work is on
-arrays within the row: nothing is shuffled, and a hot licence line is a row's own matter.
+t / (2 - t) <= a / b <= (2 - t) / t, and where they share t * b / (2 - t) bigrams or more: other templates are not
+compared. A text in which no template's telling words occur (words in so many of its bigrams that without them too few
+could be shared) is settled by looking for those words alone. All work is within the row: nothing is shuffled, and a hot
+licence line is a row's own matter.
 
 Defined results: null and empty texts, and passages of fewer than two words, match nothing; ties go to the template
 that comes first by name; null doc_ids and repeated rows are rows like others; an empty table gives an empty result;
@@ -18,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+_NOTICES = "array<struct<dice: double, place: int, licence: string>>"
 
+# Words too common to tell anything, in lower case.
+COMMON = frozenset("a an and any are as at be by for from in is it may not of on or that the this to under was with you your".split())
 # Notices by which licences are granted, as their publishers word them, by SPDX name.
 TEMPLATES: dict[str, list[str]] = {
     "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
@@ -66,6 +71,19 @@ def size_bounds(threshold: float) -> tuple[float, float]:
     return threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
 
 
+def telling(grams: list[str], threshold: float) -> list[str]:
+    """Long and uncommon words of a template; a passage with none of them shares too few bigrams to reach the threshold."""
+    least, out = threshold / (2 - threshold) * len(grams) * (1 - 1e-9), []
+    left = [g.split() for g in grams]
+    for word in sorted({w for g in left for w in g}, key=lambda w: (w in COMMON, -len(w), w)):
+        if len(left) < least:
+            break
+        if any(word in g for g in left):
+            out.append(word)
+            left = [g for g in left if word not in g]
+    return out
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\\n]+", " ")
 
@@ -77,12 +95,18 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     sizes = [len(g) for _, g in known]
     table = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for i, (_, g) in enumerate(known)])
     names, every = F.array(*[F.lit(n) for n, _ in known]), F.array(*map(F.lit, sorted({x for _, g in known for x in g})))
-    text = normalised(F.col("text").cast("string"))
-    paragraphs = F.filter(F.split(text, "\\n ?(?:\\n ?)+"), lambda p: F.trim(p).contains("\n"))
-    passages = F.concat(F.split(text, "\n"), F.transform(paragraphs, lambda p: F.translate(p, "\n", " ")))
-    words = F.transform(passages, lambda p: F.split(F.trim(F.regexp_replace(p, "  +", " ")), " "))
+    words = sorted({w for _, g in known for w in telling(g, threshold)})
+    # Steps of their own, so that the normalised text is made once for all that looks at it.
+    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("norm"))
+    flat = lowered.withColumn("flat", F.concat(F.lit(" "), F.translate("norm", "\n", " "), F.lit(" ")))
+    told = F.lit(False)
+    for w in words:
+        told = told | F.contains("flat", F.lit(f" {w} "))
+    paragraphs = F.filter(F.split("norm", "\\n ?(?:\\n ?)+"), lambda p: F.trim(p).contains("\n"))
+    passages = F.concat(F.split("norm", "\n"), F.transform(paragraphs, lambda p: F.translate(p, "\n", " ")))
+    split = F.transform(passages, lambda p: F.split(F.trim(F.regexp_replace(p, "  +", " ")), " "))
     # More words than bigrams could allow are fine: words repeat; fewer are not.
-    enough = F.filter(words, lambda w: F.size(w) > F.lit(min(sizes) * low))
+    enough = F.filter(split, lambda w: F.size(w) > F.lit(min(sizes) * low))
     grams = F.transform(enough, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     maybe = F.filter(grams, lambda g: (F.size(g) >= F.lit(min(sizes) * low)) & (F.size(g) <= F.lit(max(sizes) * high)) & F.arrays_overlap(g, every))
 
@@ -92,7 +116,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
 
     found = F.filter(F.transform(maybe, best), lambda b: b["dice"] >= threshold)
     named = F.transform(found, lambda b: F.struct(b["dice"].alias("dice"), b["place"].alias("place"), F.element_at(names, 1 - b["place"]).alias("licence")))
-    return docs.select(F.col("doc_id").cast("long"), named.alias("notices"))
+    return flat.select("doc_id", F.when(told, named).otherwise(F.array().cast(_NOTICES)).alias("notices"))
 
 
 def summary(found: DataFrame) -> DataFrame:
