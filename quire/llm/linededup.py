@@ -2,10 +2,10 @@
 
 Documents are ordered by doc_id. A line of a document that stands in an earlier one leads to the first document that has
 it: pairs of overlapping documents come from rare lines (in at most RARE documents), and, so that hot lines are not a
-gap, from runs of neighbouring shared lines that lead to one document and together have MIN_WORDS words. The lines of
-each pair, as hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal
+gap, from windows, the shortest runs of lines that together have MIN_WORDS words: each window, however many documents
+have it, leads to the first one with it, blank lines among its lines compared like others. The lines of each pair, as hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal
 neighbours extend them; the gaps between anchors are aligned alike), and aligned common blocks of MIN_WORDS words or more
-are deleted from the later document. A hot line leads every document to one other, never to all that have it, so pairs
+are deleted from the later document. A hot window leads every document to one other, never to all that have it, so pairs
 grow with the input. Hashes are shuffled for the search; of the texts, only those that may lose lines.
 
 Defined results: white space round a line does not count, and lines of it alone neither lead anywhere nor are counted as
@@ -21,8 +21,10 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sketch, staged
@@ -85,6 +87,18 @@ def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[
     return out
 
 
+def windows(words: np.ndarray, least: int) -> set[tuple[int, int]]:
+    """(first, end) of the shortest runs of lines with `least` words or more: from every line on, and up to every line.
+
+    Every line of a longer run lies in one of these that the run holds whole: in the one from it on, in the one up to
+    it, or in the one from the run's first line on. So two documents share a run if, and where, they share windows.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(total, total[:-1] + least, "left")
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1
+    return {(i, j) for i, j in enumerate(ends.tolist()) if j < len(total)} | {(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0}
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -98,15 +112,29 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
     hashes = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.xxhash64(F.trim(x))))
     words = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+"))))
     lined = staged(docs.where("text is not null").select("k1", "k2", hashes.alias("hashes"), words.alias("words")).dropDuplicates(["k1", "k2"]), "lines")
-    each = lined.select("k1", "k2", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x")).select("k1", "k2", "at", F.col("x.hashes").alias("line"), F.col("x.words").alias("n")).where("n > 0")
-    # Written, so that the join below deals out both sides anew and a hot line's rows can be split.
-    first = staged(each.groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1"), "first")
-    met = each.join(first, "line").where(F.struct("k1", "k2") > F.col("f"))
-    # A run: neighbouring lines of one document that lead to one other.
-    order = Window.partitionBy("k1", "k2", "f").orderBy("at")
-    runs = met.withColumn("run", F.col("at") - F.row_number().over(order))
-    found = runs.groupBy("k1", "k2", "f", "run").agg(F.sum("n").alias("n"), F.min("df").alias("df")).where((F.col("n") >= least) | (F.col("df") <= rare))
-    pairs = found.select("k1", "k2", F.col("f.k1").alias("e1"), F.col("f.k2").alias("e2")).distinct()
+    each = lined.select("k1", "k2", F.explode(F.arrays_zip("hashes", "words")).alias("x")).where("x.words > 0").select("k1", "k2", F.col("x.hashes").alias("key"))
+
+    def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1s, k2s, keys = [], [], []
+            for k1, k2, h, w in zip(*(b.column(c) for c in range(4))):
+                raw = h.values.to_numpy(zero_copy_only=False).tobytes()
+                found = {xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) for i, j in windows(w.values.to_numpy(zero_copy_only=False), least)}
+                k1s += [k1.as_py()] * len(found)
+                k2s += [k2.as_py()] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["k1", "k2", "key"])
+
+    def led(keys: DataFrame, most: int | None) -> DataFrame:
+        """Pairs of a document and the first one that has the same key, for keys of at most `most` places."""
+        # Written, so that the join below deals out both sides anew and a hot key's rows can be split.
+        first = keys.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1")
+        first = staged(first.where(F.col("df") <= most) if most else first, "first")
+        met = keys.join(first, "key").where(F.struct("k1", "k2") > F.col("f"))
+        return met.select("k1", "k2", F.col("f.k1").alias("e1"), F.col("f.k2").alias("e2"))
+
+    runs = staged(lined.mapInArrow(window_hashes, "k1 long, k2 long, key long"), "windows")
+    pairs = led(each, rare).union(led(runs, None)).distinct()
     earlier = lined.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("hashes").alias("before"))
     both = pairs.join(lined, ["k1", "k2"]).join(earlier, ["e1", "e2"]).select("k1", "k2", "hashes", "words", "before")
 

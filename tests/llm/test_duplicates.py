@@ -168,6 +168,35 @@ def test_hot_passages_are_found(spark):
     assert sorted(r["n_deleted"] for r in got) == [0] + [3] * 149
 
 
+@pytest.mark.parametrize("copies", [60, 100])
+def test_hot_passages_with_blank_lines(spark, copies):
+    """Short paragraphs between blank lines are one passage, in however many documents they stand."""
+    rng = random.Random(6)
+    passage = "\n\n".join(line(rng, 20) for _ in range(3))
+    rows = [(i, f"{line(rng, 10)}\n{passage}\n{line(rng, 10)}") for i in range(copies)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_deleted"] for r in got) == [0] + [5] * (copies - 1)
+
+
+def test_hot_lines_of_several_first_documents(spark):
+    """Hot lines that first stood apart are a passage where they stand together."""
+    rng = random.Random(7)
+    lines = [line(rng, 12) for _ in range(4)]
+    texts = [*lines, *("\n".join([line(rng, 10), *lines]) for _ in range(80))]
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_deleted"] for r in got} == {i: 4 if i > 4 else 0 for i in range(len(texts))}
+
+
+def test_windows_cover_shared_runs():
+    rng = random.Random(8)
+    for _ in range(200):
+        words = [rng.choice([0, 1, 5, 12, 24, 25, 40]) for _ in range(rng.randint(1, 9))]
+        for s in range(len(words)):
+            for e in range(s + 1, len(words) + 1):
+                held = {x for i, j in linededup.windows(words, 25) if s <= i and j <= e for x in range(i, j)}
+                assert held == (set(range(s, e)) if sum(words[s:e]) >= 25 else set())
+
+
 def vector_rows():
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 16))
