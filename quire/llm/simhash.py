@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, sketch, staged
@@ -48,15 +48,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(start)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, fp), or the columns `key` for doc_id: fp the fingerprint's bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            out = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(len(key))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(out.view(np.int64))], [*key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
+    schema = ", ".join(f"{k} long" for k in (*key, "fp"))
+    return docs.select(*[F.col(k).cast("long") for k in key], F.col("text").cast("string")).mapInArrow(each, schema)
 
 
 def links(distinct: DataFrame, threshold: int = 4, segments: tuple = SEGMENTS) -> DataFrame:
@@ -77,24 +78,44 @@ def links(distinct: DataFrame, threshold: int = 4, segments: tuple = SEGMENTS) -
     return probe.join(index.hint("merge"), (F.col("at") == F.col("place")) & near).select("u", "v").distinct()
 
 
+def _named(classes: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root, component_id) of classes (fp, first_id): the component of every fingerprint and its smallest doc_id."""
+    roots = components(links(classes.select("fp"), threshold))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of at most `threshold` bits reach, one row per row of docs."""
     each = staged(fingerprints(docs, shingle), "fingerprints")
     classes = staged(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select("fp"), threshold))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(_named(classes, threshold).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest doc_id stays, of repeated ids one row."""
-    first = F.lit(-(1 << 63))
-    found = near_duplicates(docs, threshold).select(F.coalesce("doc_id", first).alias("winner"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("wins"))
-    ids = staged(found.groupBy("winner").agg(F.count("*").alias("n"), F.min("wins").alias("wins")), "ids")
-    key = F.coalesce(F.col("doc_id").cast("long"), first)
-    maybe = sketch(ids.where("n > 1 or not wins"), "winner")(key)
+def row_key(docs: DataFrame) -> list[Column]:
+    """k1, k2: what tells rows of docs apart, also where ids are null (these come last) or repeated: doc_id and a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64(text).alias("k2")]
+
+
+def elected(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of its smallest key. found: (k1, k2, root) of every row of docs."""
+    rows = staged(found.groupBy("root", "k1", "k2").agg(F.count("*").alias("n")), "rows")
+    winners = rows.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("first"))
+    keys = staged(rows.join(winners, "root").select("k1", "k2", "n", (F.struct("k1", "k2") == F.col("first")).alias("wins")), "keys")
+    k1, k2 = row_key(docs)
+    maybe = sketch(keys.where("n > 1 or not wins"), "k1", "k2")(k1, k2)
     # Only rows that may have to go are dealt out with their texts.
-    doubtful = docs.where(maybe).select(key.alias("winner"), F.struct(*docs.columns).alias("row")).join(ids.where("wins"), "winner", "left_semi")
-    return docs.where(~maybe).unionByName(doubtful.groupBy("winner").agg(F.first("row").alias("row")).select("row.*"))
+    doubtful = docs.where(maybe).select(k1, k2, F.struct(*docs.columns).alias("row")).join(keys.where("wins"), ["k1", "k2"], "left_semi")
+    return docs.where(~maybe).unionByName(doubtful.groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*"))
+
+
+def representatives(docs: DataFrame, threshold: int = 4) -> DataFrame:
+    """docs without near-duplicates: of each component the row of its smallest doc_id stays, of equal rows one.
+
+    Rows of one doc_id, or of none, and different texts are different rows; null ids come last.
+    """
+    each = staged(fingerprints(docs.select(*row_key(docs), F.col("text").cast("string")), key=("k1", "k2")), "fingerprints")
+    classes = staged(each.groupBy("fp").agg(F.min("k1").alias("first_id")), "classes")
+    return elected(docs, each.join(_named(classes, threshold).select("fp", "root"), "fp").select("k1", "k2", "root"))

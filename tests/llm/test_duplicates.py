@@ -85,6 +85,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in rows), key=str) == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=str)
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    long, other, third = (line(rng, 60) for _ in range(3))
+    rows = [(3, "a b"), (None, "a b"), (None, long), (None, other), (None, other), (5, third), (5, "a b"), (7, third), (5, third), (2, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.representatives(df).collect()), key=str)
+    assert got == sorted([(3, "a b"), (None, long), (None, other), (5, third), (2, None)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     random.Random(1).shuffle(edges)
