@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import common, embedding_dedup, linededup, simhash, vectors
+from quire.llm import common, embedding_dedup, linededup, similar, simhash, vectors
 
 
 def plain_fingerprint(text, k=4):
@@ -94,6 +94,32 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert got == sorted([(3, "a b"), (None, long), (None, other), (5, third), (2, None)], key=str)
 
 
+def plain_shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(12)
+    texts = [line(rng, rng.choice([3, 8, 60, 200, 900])) for _ in range(40)]
+    for t in texts[:30]:
+        for changes in (1, 2, 4, 8):
+            w = t.split()
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    base = line(rng, 100).split()
+    texts += [" ".join([*base, f"n{i}"]) for i in range(40)] + [" ".join([*base, *line(rng, 5 * i).split()]) for i in range(1, 9)]
+    texts += [None, "", " ", texts[0], texts[3].upper()]
+    sets = [plain_shingles(t) for t in texts]
+    expected = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert any(bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 4 for i, j in enumerate(expected))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = similar.representatives(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected)) and kept.columns == df.columns
+    assert similar.representatives(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     random.Random(1).shuffle(edges)

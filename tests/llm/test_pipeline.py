@@ -59,3 +59,13 @@ def test_run(spark, tmp_path):
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_near_dedup_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(8)
+    words = said(rng, "en", 200).split(" ")
+    near = [*words[:40], "other", *words[41:120], "words", *words[121:]]  # 186 of 206 shingles are common
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(near[:100] + words[:60]), "en", "s", 1)]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == {1, 3}
