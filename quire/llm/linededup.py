@@ -5,7 +5,8 @@ it: pairs of overlapping documents come from rare lines (in at most RARE documen
 gap, from windows, the shortest runs of lines that together have MIN_WORDS words: each window, however many documents
 have it, leads to the first one with it, blank lines among its lines compared like others. The lines of each pair, as hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal
 neighbours extend them; the gaps between anchors are aligned alike), and aligned common blocks of MIN_WORDS words or more
-are deleted from the later document. A hot window leads every document to one other, never to all that have it, so pairs
+are deleted from the later document, with every other window of it that the earlier one has: repeats, blocks in another
+order, gaps without unique lines. A hot window leads every document to one other, never to all that have it, so pairs
 grow with the input. Hashes are shuffled for the search; of the texts, only those that may lose lines.
 
 Defined results: white space round a line does not count, and lines of it alone neither lead anywhere nor are counted as
@@ -73,20 +74,6 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[int, int]]:
-    """(first, last) positions in a of aligned blocks, neighbours on both sides, of `least` words or more."""
-    out, run, total = [], [], 0
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if run and (i, j) == (run[-1][0] + 1, run[-1][1] + 1):
-            run.append((i, j))
-        else:
-            if run and total >= least:
-                out.append((run[0][0], run[-1][0]))
-            run, total = [(i, j)], 0
-        total += words[i] if i >= 0 else 0
-    return out
-
-
 def windows(words: np.ndarray, least: int) -> set[tuple[int, int]]:
     """(first, end) of the shortest runs of lines with `least` words or more: from every line on, and up to every line.
 
@@ -99,6 +86,30 @@ def windows(words: np.ndarray, least: int) -> set[tuple[int, int]]:
     return {(i, j) for i, j in enumerate(ends.tolist()) if j < len(total)} | {(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0}
 
 
+def common_blocks(a: list, b: list, words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) positions in a of runs, neighbours on both sides, of `least` words or more.
+
+    Runs of the alignment, and what it leaves: repeats within a, blocks in another order, gaps without a unique line.
+    """
+    out, run, total = set(), [], 0
+    for i, j in [*patience(a, b), (-9, -9)]:
+        if run and (i, j) == (run[-1][0] + 1, run[-1][1] + 1):
+            run.append((i, j))
+        else:
+            if run and total >= least:
+                out.add((run[0][0], run[-1][0]))
+            run, total = [(i, j)], 0
+        total += words[i] if i >= 0 else 0
+    gone = {x for i, z in out for x in range(i, z + 1)}
+    left = [(i, j) for i, j in windows(words, least) if not gone.issuperset(range(i, j))]
+    if left:
+        # Lines that a has not count no words here: no window with one of them is in a.
+        count = dict(zip(a, words))
+        there = {tuple(b[i:j]) for i, j in windows([count.get(x, 0) for x in b], least)}
+        out |= {(i, j - 1) for i, j in left if tuple(a[i:j]) in there}
+    return sorted(out)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 

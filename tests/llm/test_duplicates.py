@@ -232,6 +232,18 @@ def test_windows_cover_shared_runs():
                 assert held == (set(range(s, e)) if sum(words[s:e]) >= 25 else set())
 
 
+def test_repeated_and_moved_passages_go():
+    rng = random.Random(10)
+    assert linededup.common_blocks(list("xPyPz"), list("qPr"), [5, 60, 5, 60, 5], 25) == [(1, 1), (3, 3)]
+    for _ in range(400):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 10))] for _ in range(2))
+        count = dict(zip("abcdef", (0, 5, 10, 13, 20, 30)))
+        words = [count[x] for x in a]
+        runs = [(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= 25 and any(b[k : k + j - i] == a[i:j] for k in range(len(b)))]
+        got = {x for i, z in linededup.common_blocks(a, b, words, 25) for x in range(i, z + 1)}
+        assert got == {x for i, j in runs for x in range(i, j)}
+
+
 def vector_rows():
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 16))
