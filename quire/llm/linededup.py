@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents are ordered by doc_id. A line of a document that stands in an earlier one leads to the first document that has
-it: pairs of overlapping documents come from rare lines (in at most RARE documents), and, so that hot lines are not a
-gap, from windows, the shortest runs of lines that together have MIN_WORDS words: each window, however many documents
-have it, leads to the first one with it, blank lines among its lines compared like others. The lines of each pair, as hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal
-neighbours extend them; the gaps between anchors are aligned alike), and aligned common blocks of MIN_WORDS words or more
-are deleted from the later document, with every other window of it that the earlier one has: repeats, blocks in another
+Documents are ordered by doc_id. Pairs of overlapping documents come from windows, the shortest runs of lines that
+together have MIN_WORDS words: each window, in however many documents it stands, leads to the first one with it, so that
+whatever a document shares with any earlier one is found. Blank lines are lines of no words. The lines of each pair, as
+hashes, are aligned by patience diff (lines unique on both sides that keep their order are anchors; equal neighbours
+extend them; the gaps between anchors are aligned alike), and aligned common blocks of MIN_WORDS words or more are
+deleted from the later document, with every other window of it that the earlier one has: repeats, blocks in another
 order, gaps without unique lines. A hot window leads every document to one other, never to all that have it, so pairs
 grow with the input. Hashes are shuffled for the search; of the texts, only those that may lose lines.
 
@@ -119,12 +119,13 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(k1, k2, gone): for documents with anything to delete, the blocks of line numbers; docs: (k1, k2, text)."""
+    """(k1, k2, gone): for documents with anything to delete, the blocks of line numbers; docs: (k1, k2, text).
+
+    rare: without effect, for windows need no bound on how many documents have one.
+    """
     hashes = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.xxhash64(F.trim(x))))
     words = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+"))))
     lined = staged(docs.where("text is not null").select("k1", "k2", hashes.alias("hashes"), words.alias("words")).dropDuplicates(["k1", "k2"]), "lines")
-    each = lined.select("k1", "k2", F.explode(F.arrays_zip("hashes", "words")).alias("x")).where("x.words > 0").select("k1", "k2", F.col("x.hashes").alias("key"))
-
     def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1s, k2s, keys = [], [], []
@@ -136,16 +137,11 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
                 keys += found
             yield pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["k1", "k2", "key"])
 
-    def led(keys: DataFrame, most: int | None) -> DataFrame:
-        """Pairs of a document and the first one that has the same key, for keys of at most `most` places."""
-        # Written, so that the join below deals out both sides anew and a hot key's rows can be split.
-        first = keys.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1")
-        first = staged(first.where(F.col("df") <= most) if most else first, "first")
-        met = keys.join(first, "key").where(F.struct("k1", "k2") > F.col("f"))
-        return met.select("k1", "k2", F.col("f.k1").alias("e1"), F.col("f.k2").alias("e2"))
-
     runs = staged(lined.mapInArrow(window_hashes, "k1 long, k2 long, key long"), "windows")
-    pairs = led(each, rare).union(led(runs, None)).distinct()
+    # Written, so that the join below deals out both sides anew and a hot window's rows can be split.
+    first = staged(runs.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1").select("key", "f"), "first")
+    met = runs.join(first, "key").where(F.struct("k1", "k2") > F.col("f"))
+    pairs = met.select("k1", "k2", F.col("f.k1").alias("e1"), F.col("f.k2").alias("e2")).distinct()
     earlier = lined.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("hashes").alias("before"))
     both = pairs.join(lined, ["k1", "k2"]).join(earlier, ["e1", "e2"]).select("k1", "k2", "hashes", "words", "before")
 

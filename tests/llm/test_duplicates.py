@@ -222,6 +222,15 @@ def test_hot_lines_of_several_first_documents(spark):
     assert {r["doc_id"]: r["n_deleted"] for r in got} == {i: 4 if i > 4 else 0 for i in range(len(texts))}
 
 
+def test_rare_lines_of_several_first_documents(spark):
+    """Two documents share a passage whose lines stood in different documents before."""
+    rng = random.Random(13)
+    a, b = line(rng, 20), line(rng, 20)
+    texts = [[a, "x"], [b, "y"], ["h3", a, b, "t3"], ["h4", a, b, "t4"]]
+    got = linededup.dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts, 1)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: f"{a}\nx", 2: f"{b}\ny", 3: f"h3\n{a}\n{b}\nt3", 4: "h4\nt4"}
+
+
 def test_windows_cover_shared_runs():
     rng = random.Random(8)
     for _ in range(200):
