@@ -25,8 +25,8 @@ from .simhash import elected, row_key
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 32, 4, 42
-#: Shingles whose hashes are permuted at once.
-BLOCK = 1 << 12
+#: Shingles whose hashes are permuted at once, and texts whose sets are held at once.
+BLOCK, HELD = 1 << 10, 256
 
 _rng = np.random.default_rng(SEED)
 _TIMES, _PLUS, _MIX = (_rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(3))
@@ -60,7 +60,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(k1, k2, id): the set of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, HELD) for whole in batches for i in range(0, whole.num_rows, HELD)):
             found = [shingles(t.as_py()) for t in b.column(2)]
             ids = _signed([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found])
             keys = np.concatenate([bands(x) for x in found]) if found else np.zeros(0, np.uint64)
@@ -77,7 +77,7 @@ def _whole(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.where(sketch(one, "k1", "k2")(k1, k2)).select(k1, k2, F.col("text").cast("string").alias("text")).join(one, ["k1", "k2"]).select("id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for b in (whole.slice(i, HELD) for whole in batches for i in range(0, whole.num_rows, HELD)):
             found = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
