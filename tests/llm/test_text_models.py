@@ -250,3 +250,11 @@ def test_broken_markup():
     assert wrapper.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>", None) == ["a", "b", "c"]
     assert wrapper.blocks("<table><tr><td>a<td>b<tr><td>c</table>", None) == ["a", "b", "c"]
     assert wrapper.blocks("a < b and c > d <br> e", None) == ["a < b and c > d e"]
+
+
+def test_copies_keep_all_of_their_article(spark):
+    article = "<article><h1>Pumps</h1><p>How they work.</p><ul><li>One part</li><li>Another</li></ul><table><tr><td>5 bar</td></tr></table><pre>run it</pre><blockquote>Said so</blockquote>bare words</article>"
+    page = f"<html><body><nav>Home</nav><div>Top</div>{article}<footer>End</footer></body></html>"
+    df = spark.createDataFrame([(i, f"http://copies.example/{i}", page) for i in range(4)], "page_id long, url string, html string")
+    texts = {r["text"] for r in wrapper.extract(df).collect()}
+    assert texts == {"Pumps\n\nHow they work.\n\nOne part\n\nAnother\n\n5 bar\n\nrun it\n\nSaid so\n\nbare words"}
