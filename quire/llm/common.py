@@ -5,15 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of 64 bits that a sketch of keys has at most (8 MB); more keys than it suits make more rows `maybe`, none wrong.
 WORDS = 1 << 20
+#: Rows and bytes of an Arrow batch that goes to a Python worker; Spark's own defaults hold many long texts at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH rows and bytes, which the session keeps for what follows."""
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        if not 0 < int(conf.get(name).rstrip("b")) <= most:
+            conf.set(name, str(most))
+    return df.mapInArrow(each, schema)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
@@ -60,20 +73,21 @@ def sketch(keys: DataFrame, *columns: str, words: int = WORDS) -> Callable[...,
     """A function of columns that is false only for values that no row of `keys` has.
 
     Rows it is false for need no join, and so no shuffle of their texts. A bit for each key, ten bits a key or as many as
-    `words` allows; the bits are gathered where the keys are, and at most `words` words reach the driver.
+    `words` allows; the bits are gathered where the keys are, and at most `words` words reach the driver, from where one
+    row of them goes out as the value of a scalar subquery.
     """
     size = min(words, 1 << max(6, (keys.count() * 10 // 64).bit_length())) * 64
     at = keys.select(F.pmod(F.xxhash64(*columns), F.lit(size)).alias("b"))
-    found = at.selectExpr("shiftright(b, 6) as w", "shiftleft(1L, cast(b & 63 as int)) as x").groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[found["w"].to_numpy(np.int64)] = found["x"].to_numpy(np.int64).view(np.uint64)
+    found = at.selectExpr("shiftright(b, 6) as w", "shiftleft(1L, cast(b & 63 as int)) as x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found["w"].to_numpy()] = found["x"].to_numpy()
+    held = keys.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})).scalar()
 
-    def held(b: pd.Series) -> pd.Series:
-        b = b.to_numpy(np.int64)
-        return pd.Series((bits[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    def maybe(*c: Column) -> Column:
+        b = F.pmod(F.xxhash64(*c), F.lit(size))
+        return F.getbit(F.element_at(held, (F.shiftright(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    maybe = F.pandas_udf(held, "boolean")
-    return lambda *c: maybe(F.pmod(F.xxhash64(*c), F.lit(size)))
+    return maybe
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 HIDDEN, SPAN = 6, 64
 #: Windows that go through the network together, and bytes of text that are gathered before that.
 TOGETHER, GATHERED = 2048, 4 << 20
@@ -240,4 +242,4 @@ def predict(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc_id"
     where_text = keep.index("text") if own else len(keep)
     columns = docs.select(*keep) if own else docs.select(*keep, F.col("text").cast("string").alias("text read"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(keep)])
-    return columns.mapInArrow(each, f"{schema}, lang_pred string, score double")
+    return mapped(columns, each, f"{schema}, lang_pred string, score double")

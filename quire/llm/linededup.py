@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sketch, staged
+from .common import mapped, sketch, staged
 
 MIN_WORDS, RARE = 25, 64
 
@@ -137,7 +137,7 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
                 keys += found
             yield pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["k1", "k2", "key"])
 
-    runs = staged(lined.mapInArrow(window_hashes, "k1 long, k2 long, key long"), "windows")
+    runs = staged(mapped(lined, window_hashes, "k1 long, k2 long, key long"), "windows")
     # Written, so that the join below deals out both sides anew and a hot window's rows can be split.
     first = staged(runs.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("f"), F.count("*").alias("df")).where("df > 1").select("key", "f"), "first")
     met = runs.join(first, "key").where(F.struct("k1", "k2") > F.col("f"))
@@ -152,7 +152,7 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
                 k1, k2, gone = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(gone, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["k1", "k2", "gone"])
 
-    aligned = both.mapInArrow(align, "k1 long, k2 long, gone array<struct<a: int, z: int>>")
+    aligned = mapped(both, align, "k1 long, k2 long, gone array<struct<a: int, z: int>>")
     return aligned.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 

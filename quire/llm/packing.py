@@ -5,15 +5,18 @@ that fill a window exactly (two lengths; one length twice and a third; two lengt
 counts by non-negative least squares against the histogram of lengths; the counts are rounded down and the pieces left
 are packed greedily, the longest first, always with the longest that still fits. Only the histogram (a row for each
 length at most) and the plan reach the driver; both are bounded by the window, not by the data. A piece finds its place
-by its rank among all pieces of its length: its rank in the task that made it, plus the pieces of earlier tasks.
+by its rank among all pieces of its length: its rank in the task that made it, plus the pieces of earlier tasks, of which
+a row of counts for each task tells.
 
 Defined results: a null or empty text is a document of the end id alone; null doc_ids and repeated rows are documents
-like others; an empty table gives no pieces; texts of any length are tokenised whole; further columns are not read.
+like others; an empty table gives no pieces; texts of any length are tokenised whole, the tokenizer's added tokens in them as the library reads them; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -27,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import mapped, staged
 
 WINDOW, END = 1024, 0
-#: Chunks of text whose ids one worker remembers at most, and the longest that it remembers.
-CACHE, LONGEST = 500_000, 48
-#: Documents whose pieces are held at once.
-ROWS = 1000
+#: Bytes that one worker's memory of chunks of text and their ids may take, and the longest chunk that it remembers.
+CACHE, LONGEST = 24 << 20, 48
+#: Tokens whose pieces are held at once, if no document alone has more.
+HELD = 1 << 19
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -49,20 +52,29 @@ def _raw(ids: list[int]) -> bytes:
 
 
 class _Known(dict):
-    """Ids of chunks that follow a space; made where they are not yet known, and kept up to CACHE of them."""
+    """Ids of chunks that follow a space; made where they are not yet known, and kept up to CACHE bytes of them."""
 
     def __init__(self, encode):
         super().__init__()
         self._encode = encode
         self.odd = {""}
+        self._room = CACHE
+
+    def _holds(self, chunk: str, ids: bytes = b"") -> bool:
+        # The two objects, and their share of the table.
+        size = sys.getsizeof(chunk) + sys.getsizeof(ids) + 100
+        if len(chunk) > LONGEST or size > self._room:
+            return False
+        self._room -= size
+        return True
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[-1].isspace():
-            if len(self.odd) < CACHE:
+            if self._holds(chunk):
                 self.odd.add(chunk)
             raise _Odd
         ids = _raw(self._encode(" " + chunk))
-        if len(self) < CACHE and len(chunk) <= LONGEST:
+        if self._holds(chunk, ids):
             self[chunk] = ids
         return ids
 
@@ -78,15 +90,27 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            read = json.load(f)
+        vocabulary, added = read["model"]["vocab"], read.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that take in their surroundings are not supported")
+        self._added = {t["content"]: t["id"] for t in added}
+        # The leftmost, and of those the longest.
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=lambda t: (-len(t), t)))) + ")").split if added else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if all(c in byte for c in word) and word != "<|endoftext|>"}
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in self._added and all(c in byte for c in word)}
         self._encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known = _Known(self._encode)
 
     def encode(self, text: str) -> bytes:
+        """Added tokens stand for themselves, as in the library; what lies between them is encoded alone."""
+        if any(t in text for t in self._added):
+            return b"".join(_raw([self._added[part]]) if i % 2 else self._plain(part) for i, part in enumerate(self._split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not first[-1:].isspace() and self._known.odd.isdisjoint(rest):
             try:
@@ -116,8 +140,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), Counter()
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            rows: list[list] = [[] for _ in names]
+        rows: list[list] = [[] for _ in names]
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(r, pa.binary() if n == "ids" else pa.int64()) for n, r in zip(names, rows)], names)
+            for r in rows:
+                r.clear()
+            return out
+
+        for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(text.as_py() or "") + last
                 total = len(ids) // 4
@@ -127,9 +159,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                     for to, value in zip(rows, (doc, start, n, zlib.crc32(part), total, task, seen[n], part)):
                         to.append(value)
                     seen[n] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary() if n == "ids" else pa.int64()) for n, r in zip(names, rows)], names)
+                held += total
+                if held >= HELD:
+                    yield made()
+                    held = 0
+        if rows[0]:
+            yield made()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
 
 def combinations(window: int, grid: int = 32) -> np.ndarray:
@@ -226,16 +263,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     first, rank, sequence, offset = places(plan(histogram, window), window)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = made.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    names = [c for c in cut.columns if c not in ("task", "nth")]
+    # One row for each task: the number of its first piece of each length.
+    listed = before.groupBy("task").agg(F.collect_list(F.struct("length", "before")).alias("at"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            length = b.column("length").to_numpy()
-            number = first[length] + b.column("before").to_numpy() + b.column("nth").to_numpy()
-            run = np.searchsorted(rank, number, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence[run] + number - rank[run]), pa.array(offset[run])], [*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return cut.join(before, ["task", "length"]).mapInArrow(place, f"{schema}, sequence_id long, offset long")
+            at = np.zeros((b.num_rows, window + 1), np.int64)
+            for row, found in zip(at, b.column("at").to_pylist()):
+                for x in found:
+                    row[x["length"]] = first[x["length"]] + x["before"]
+            yield pa.RecordBatch.from_arrays([b.column("task"), pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, window + 1), pa.int32()), pa.array(at.ravel()))], ["task", "starts"])
+
+    def place(number: pa.Array) -> pa.Array:
+        n = number.to_numpy()
+        run = np.searchsorted(rank, n, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(sequence[run] + n - rank[run]), pa.array(offset[run])], ["sequence_id", "offset"])
+
+    numbered = cut.join(mapped(listed, starts, "task long, starts array<long>"), "task")
+    number = F.element_at("starts", (F.col("length") + 1).cast("int")) + F.col("nth")
+    # Only numbers go to Python; ids stay where they are.
+    placed = numbered.withColumn("place", F.arrow_udf(place, "sequence_id long, offset long")(number))
+    return placed.select(*[c for c in cut.columns if c not in ("task", "nth")], "place.sequence_id", "place.offset")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import mapped, staged
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -217,7 +217,7 @@ def detect(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = [[dict(zip(names, c)) for c in candidates(t.as_py() or "")] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ARROW)], ["doc_id", "found"])
 
-    seen = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, f"doc_id long, found array<{_CANDIDATE}>"), "candidates")
+    seen = staged(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, f"doc_id long, found array<{_CANDIDATE}>"), "candidates")
     counts = seen.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(F.count("*").alias("n")).collect()
     chance: dict[tuple[int, int, int], float] = {}
     if counts:
@@ -240,7 +240,7 @@ def detect(docs: DataFrame, least: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, span) for x in named)], ["doc_id", "base", "spans"])
 
     one = "array<struct<start: int, end: int, kind: string>>"
-    return seen.mapInArrow(settle, f"doc_id long, base {one}, spans {one}")
+    return mapped(seen, settle, f"doc_id long, base {one}, spans {one}")
 
 
 def listed(spans):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sketch, staged
+from .common import components, mapped, sketch, staged
 
 SEED = 42
 #: (first bit, bits, radius); 2 + 2 + 1 > 4 differing bits.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(out.view(np.int64))], [*key, "fp"])
 
     schema = ", ".join(f"{k} long" for k in (*key, "fp"))
-    return docs.select(*[F.col(k).cast("long") for k in key], F.col("text").cast("string")).mapInArrow(each, schema)
+    return mapped(docs.select(*[F.col(k).cast("long") for k in key], F.col("text").cast("string")), each, schema)
 
 
 def links(distinct: DataFrame, threshold: int = 4, segments: tuple = SEGMENTS) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sketch, staged
+from .common import components, mapped, sketch, staged
 from .simhash import elected, row_key
 
 SHINGLE, LEAST = 5, 0.8
@@ -67,7 +67,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, keys], ["k1", "k2", "id", "keys"])
 
-    return docs.select(*row_key(docs), F.col("text").cast("string")).mapInArrow(each, "k1 long, k2 long, id long, keys array<long>")
+    return mapped(docs.select(*row_key(docs), F.col("text").cast("string")), each, "k1 long, k2 long, id long, keys array<long>")
 
 
 def _whole(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def _whole(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return staged(texts.mapInArrow(each, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    return staged(mapped(texts, each, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """Packing against the tokenizers library, personal data against plain regular expressions."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -14,15 +15,18 @@ from quire.llm import packing, pii
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
-TEXTS = ["", "Hello world, it's  two  spaces", "tab\tand\nlines\n \n x", " leading", "trailing ", "日本語 é \U0001f600", "<|endoftext|> a", "x" * 5000, "word " * 3000, "a b", "a b  c", "don't I'LL 12 3,4"]
+TEXTS = ["", "Hello world, it's  two  spaces", "tab\tand\nlines\n \n x", " leading", "trailing ", "日本語 é \U0001f600", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n <|endoftext|> <|endoftext |>", "x" * 5000, "word " * 3000, "a b", "a b  c", "don't I'LL 12 3,4"]
 
 
-def whole(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH)
+
+
+def whole(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library():
