@@ -13,7 +13,7 @@ input are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,15 @@ SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 BLOCK = 1 << 16
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes in all blocks."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The 64-bit SimHash of the whole text's word shingles, as an unsigned integer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -41,11 +50,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     start, end = (end - length)[: len(words) - shingle + 1], end[shingle - 1 :]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(start), BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(start)).tobytes(), "big")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())], np.uint64) for at in range(0, len(start), BLOCK))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
