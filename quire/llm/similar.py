@@ -5,8 +5,10 @@ exactly. The first is that of simhash: fingerprints of the shingles within BITS
 Sets at the least similarity of 0.8 differ in 10 of 64 bits on average and in 17 at times, which no table of small balls
 reaches, so the second takes BANDS keys of ROWS smallest hashes of every set, and sets that share a key: a pair at 0.8
 shares none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 5e-8, a closer one with less. Sets that share a key are
-first compared with the smallest set of the key, which settles groups of copies in proportion to their number, and then
-with those of the key that are in other components still.
+first compared with one of the key, another for every key, which settles groups of copies in proportion to their number.
+Sets of keys whose members are in several components still are then searched by rare shingles (prefix filtering with
+positions), which is exact and meets no group as a whole: of a set, only as many of its rarest shingles count as a pair
+at the least similarity may lack, so that what many texts have in common leads nowhere.
 
 Defined results: words are lower-cased (ASCII) and cut at ASCII white space; a text of fewer words than a shingle is one
 shingle, one without words an empty one; rows, ids and what stays are as in simhash.elected.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, mapped, sketch, staged
@@ -107,12 +109,33 @@ def _close(sets: DataFrame) -> DataFrame:
     return same.union(both.select("u", "n_u", "v", "n_v"))
 
 
+def _by_rare_shingles(sets: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """(u, n_u, v, n_v): every pair of `sets` (id, n, root) of different roots that may reach `least`, n_u <= n_v.
+
+    Shingles are ordered by how many of the sets have one, the rarest first. A pair that is similar enough shares one
+    among the first n - least * n + 1 of the larger set and the first n - 2 * least / (1 + least) * n + 1 of the smaller,
+    at places after which enough are left on both sides.
+    """
+    said = sets.join(whole, "id").select("id", "n", "root", F.explode("shingles").alias("s"))
+    known = staged(said.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"), "common")
+    # Shingles of one set alone come first and lead nowhere, so only their number counts.
+    mine = Window.partitionBy("id")
+    nth = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("of", "s")) - 1
+    placed = said.join(known, "s").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9))
+    placed = staged(placed.select("s", "id", "n", "root", "nth"), "rare")
+    u, v = (placed.select("s", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "root", "nth")]) for c in "uv")
+    u = u.where(F.col("nth_u") <= F.col("n_u") - F.ceil(2 * least / (1 + least) * F.col("n_u") - 1e-9))
+    order = "(n_u < n_v or (n_u = n_v and u < v)) and root_u <> root_v"
+    enough = F.least(F.col("n_u") - F.col("nth_u"), F.col("n_v") - F.col("nth_v")) >= least / (1 + least) * (F.col("n_u") + F.col("n_v")) - 1e-9
+    return u.join(v, "s").where(F.expr(order) & (F.col("n_u") >= least * F.col("n_v") - 1e-9) & enough).select("u", "n_u", "v", "n_v").distinct()
+
+
 def linked(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(k1, k2, root) of every row of docs: the component of its set under similarities of `least` or more."""
     rows = staged(_sets(docs), "sets")
     sets = staged(rows.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")]), "distinct")
     keys = staged(sets.select("id", "n", F.explode("keys").alias("key")), "keys")
-    shared = staged(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("u"), F.count("*").alias("of")).where("of > 1").select("key", F.col("u.id").alias("u"), F.col("u.n").alias("n_u")), "shared")
+    shared = staged(keys.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key"), "id")).alias("u"), F.count("*").alias("of")).where("of > 1").select("key", F.col("u.id").alias("u"), F.col("u.n").alias("n_u")), "shared")
     met = staged(keys.where(sketch(shared, "key")(F.col("key"))).join(shared, "key"), "met")
     discard(keys)
     first = staged(met.where("id <> u").select("u", "n_u", F.col("id").alias("v"), F.col("n").alias("n_v")).union(_close(sets)), "candidates")
@@ -122,12 +145,11 @@ def linked(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # What the smallest sets left apart.
     placed = met.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     apart = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
-    placed = staged(placed.join(apart, "key"), "apart")
-    a, b = (placed.select("key", F.col("id").alias(n), F.col("n").alias(f"n_{n}"), F.col("root").alias(f"root_{n}")) for n in "uv")
-    rest = a.join(b, "key").where("u < v and root_u <> root_v")
+    placed = staged(placed.join(apart, "key").select("id", "n", "root").distinct(), "apart")
+    rest = staged(_by_rare_shingles(placed, whole, least), "rest")
     more = _verified(rest.join(first.select("u", "v").distinct(), ["u", "v"], "left_anti"), whole, least)
     roots = components(near.union(more)).withColumnRenamed("node", "id")
-    for done in (sets, shared, met, first, whole, near, placed):
+    for done in (sets, shared, met, first, whole, near, placed, rest):
         discard(done)
     return rows.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root"))
 

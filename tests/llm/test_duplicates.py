@@ -120,6 +120,41 @@ def test_similar_texts_against_all_pairs(spark):
     assert similar.representatives(df.limit(0)).count() == 0
 
 
+def test_texts_round_a_common_passage_are_not_paired(spark, monkeypatch):
+    """Many texts share most of their words, few are near-duplicates; those are found, and few pairs are compared."""
+    rng = random.Random(14)
+    common = line(rng, 120)
+    texts = [f"{common} {line(rng, rng.choice([30, 40, 50]))}" for _ in range(150)]
+    for i in range(0, 60, 3):
+        w = texts[i].split()
+        w[125] = "other"
+        texts.append(" ".join(w))
+    compared = []
+    real = similar._verified
+
+    def counted(pairs, whole, least):
+        compared.append(pairs.distinct().count())
+        return real(pairs, whole, least)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    sets = [plain_shingles(t) for t in texts]
+    expected = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = similar.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected)) and len(set(expected)) < len(texts)
+    assert compared[1] < len(texts)
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    rng = random.Random(15)
+    sets = [{rng.randrange(40) for _ in range(rng.randint(1, 30))} for _ in range(80)]
+    sets += [set(list(x)[1:]) or {1} for x in sets]
+    rows = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "id long, n long, root long")
+    whole = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, shingles array<long>")
+    found = similar._by_rare_shingles(rows, whole, 0.8)
+    got = {frozenset((r["u"], r["v"])) for r in similar._verified(found, whole, 0.8).collect()}
+    assert got == {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     random.Random(1).shuffle(edges)
