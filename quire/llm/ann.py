@@ -1,6 +1,8 @@
 """Nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 The index is fitted on a bounded sample (SAMPLE rows): coarse centroids, and for each slice of the residual a codebook.
+There are half as many lists as the root of the number of rows, between LISTS; a query visits VISITED of them. All vectors
+are scaled by one power of two and each query by another, which changes no order and keeps estimates finite.
 Every row is indexed: it goes to its nearest centroid's list with the codes of its residual. A query visits the lists
 whose centroids have the largest inner products with it; in a list the candidates are ranked by asymmetric distance
 tables (exact query, quantised row); the best EXACT, and all whose estimate plus ERRORS standard errors of quantisation
@@ -17,6 +19,7 @@ not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import batches_of, by_key, centres, nearest, sample, usable
+from .vectors import batches_of, by_key, centres, nearest, sample, scaled, usable
 
-#: Lists, lists that a query visits, slices of a residual, codes of a slice, rows of a chunk, rows ranked exactly.
-LISTS, PROBES, SLICES, CODES, BLOCK, EXACT, SAMPLE = 128, 90, 16, 256, 8192, 128, 16384
+#: The fewest and the most lists, and the share of them that a query visits.
+LISTS, VISITED = (128, 2048), 0.7
+#: Slices of a residual, codes of a slice, rows of a chunk, rows ranked exactly, rows of the sample.
+SLICES, CODES, BLOCK, EXACT, SAMPLE = 16, 256, 8192, 128, 16384
 #: An estimate may be off by so many standard errors before a row is not ranked exactly.
 ERRORS = 2.0
 
@@ -36,7 +41,7 @@ ERRORS = 2.0
 class Index:
     """Coarse centroids and codebooks, fitted on a sample."""
 
-    def __init__(self, x: np.ndarray, lists: int = LISTS, slices: int = SLICES, codes: int = CODES):
+    def __init__(self, x: np.ndarray, lists: int, slices: int = SLICES, codes: int = CODES):
         self.width = x.shape[1]
         self.coarse = centres(x, lists)
         rest = x - self.coarse[nearest(x, self.coarse)]
@@ -58,27 +63,31 @@ class Index:
 
     def estimates(self, q: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """(queries, rows): inner products with the quantised rows of one list, from a table for each slice."""
-        out = np.repeat((q @ self.coarse[own])[:, None], len(codes), axis=1).astype(np.float32)
+        out = np.repeat((q @ self.coarse[own])[:, None], len(codes), axis=1)
         for i, ((a, b), book) in enumerate(zip(self.slices, self.books)):
-            out += (q[:, a:b] @ book.T).astype(np.float32)[:, codes[:, i]]
+            out += (q[:, a:b] @ book.T)[:, codes[:, i]]
         return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS, probes: int = PROBES, exact: int = EXACT) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int | None = None, probes: int | None = None, exact: int = EXACT) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of `vectors` (vec_id, embedding) with is_query."""
     fit = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    width = fit.agg(F.max(F.size("embedding"))).first()[0]
+    largest = F.array_max(F.transform("embedding", F.abs))
+    width, rows_in, most = fit.agg(F.max(F.size("embedding")), F.count("*"), F.max(largest)).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not width:
         return vectors.sparkSession.createDataFrame([], empty)
-    picked = sample(fit, SAMPLE)
-    index = Index(np.pad(picked, ((0, 0), (0, width - picked.shape[1]))), lists)
+    lists = lists or min(max(round(rows_in**0.5 / 2), LISTS[0]), LISTS[1])
+    probes = probes or math.ceil(lists * VISITED)
+    down = -int(np.frexp(most)[1])
+    picked = sample(fit, SAMPLE, "vec_id")
+    index = Index(np.ldexp(np.pad(picked, ((0, 0), (0, width - picked.shape[1]))), down), lists)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = batches_of(b.column(1), width)
-                own, codes, off = index.encode(x)
+                own, codes, off = index.encode(np.ldexp(x, down))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(off)], ["list", "id", "codes", "vector", "off"])
 
     indexed = staged(fit.mapInArrow(place, "list long, id long, codes binary, vector binary, off double"), "inverted-file")
@@ -91,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS
         for b in batches:
             if b.num_rows:
                 x = batches_of(b.column(1), width)
-                to = index.visits(x, probes)
+                to = index.visits(scaled(x), probes)
                 rows = [(c, n, 1, i, r.tobytes()) for i, r, ls in zip(b.column(0).to_pylist(), x, to.tolist()) for c in ls for n in range(chunks[c])]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]), pa.nulls(len(rows), pa.binary()), pa.array([r[4] for r in rows], pa.binary()), pa.nulls(len(rows), pa.float64())], ["list", "chunk", "side", "id", "codes", "vector", "off"])
 
@@ -121,17 +130,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, lists: int = LISTS
             asking = part.column(3).to_numpy()
             q = np.frombuffer(b"".join(part.column(5).to_pylist()), np.float64).reshape(-1, width)
             for i in range(0, len(q), 64):
-                guess = index.estimates(q[i : i + 64], own, codes)
-                guess[asking[i : i + 64, None] == ids] = -np.inf
+                guess = index.estimates(scaled(q[i : i + 64]), own, codes)
+                # Only what has the query's own id takes no part.
+                mine = asking[i : i + 64, None] == ids
+                guess[mine] = -np.inf
                 out: list[tuple] = []
-                for row, query, name in zip(guess, q[i : i + 64], asking[i : i + 64].tolist()):
+                for row, self_, query, name in zip(guess, mine, q[i : i + 64], asking[i : i + 64].tolist()):
                     best = np.argpartition(-row, exact - 1)[:exact] if len(row) > exact else np.arange(len(row))
-                    best = best[np.isfinite(row[best])]
+                    best = best[~self_[best]]
                     score = (x[best] * query).sum(axis=1)
                     if len(row) > exact and len(best) >= k:
-                        bound = np.partition(score, -k)[-k]
-                        maybe = row + off * (ERRORS * np.linalg.norm(query)) >= bound
+                        # Exact scores on the scale of the estimates.
+                        to_guess = np.ldexp(1.0, down) * np.ldexp(1.0, -np.frexp(np.abs(query).max())[1])
+                        bound = np.partition(score, -k)[-k] * to_guess
+                        maybe = row + off * (ERRORS * np.linalg.norm(scaled(query[None])[0])) >= bound
                         maybe[best] = False
+                        maybe &= ~self_
                         more = np.flatnonzero(maybe)
                         best, score = np.concatenate([best, more]), np.concatenate([score, (x[more] * query).sum(axis=1)])
                     top = np.lexsort((ids[best], -score))[:k]

@@ -16,12 +16,17 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def sample(vectors: DataFrame, rows: int) -> np.ndarray:
-    """At most `rows` of the vectors, those with the smallest hashes of their values, as a matrix of doubles."""
-    taken = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(rows).collect()
+def sample(vectors: DataFrame, rows: int, *by: str) -> np.ndarray:
+    """At most `rows` of the vectors, those with the smallest hashes of their values and of `by`, as a matrix of doubles."""
+    taken = vectors.select("embedding", F.xxhash64("embedding", *by).alias("h")).orderBy("h").limit(rows).collect()
     return matrix([r[0] for r in taken])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to between 1/2 and 1: exact, and squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def matrix(rows: list, width: int | None = None) -> np.ndarray:
     """Rows as doubles; a shorter row counts as if it ended in zeros."""
     width = width or max(map(len, rows), default=0)

@@ -105,6 +105,34 @@ def test_neighbours_of_few(spark):
     assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_recall_as_shipped(spark):
+    """No clusters at all, and a third of all rows one vector: at least nine tenths of the true neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    # Many rows tie with the first vector's copies, so scores are compared.
+    hit = [sum(x[q] @ x[i] >= np.sort(np.delete(x @ x[q], q))[-20] - 1e-12 for i in got[q]) / 20 for q in range(0, 3000, 20)]
+    assert len(got) == 150 and np.mean(hit) >= 0.9
+
+
+def test_neighbours_of_very_different_sizes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8)).astype(np.float32).astype(np.float64)
+    x[2], x[30] = x[2] * 1e25, x[30] * 1e25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, F.col("vec_id") % 5 == 1, 5).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    for q, found in got.items():
+        scores = (x * x[q]).sum(axis=1)
+        assert found == [i for i in sorted(range(40), key=lambda i: (-scores[i], i)) if i != q][:5]
+
+
 def test_raking_against_marginals():
     rng = np.random.default_rng(2)
     n = rng.integers(1, 100, 60).astype(float)
