@@ -10,10 +10,13 @@ first block whose budget the pair keeps, so a link found in several blocks count
 Byte-equal vectors are one class with a count. Pairs are never emitted: a task gives the number of links of each class
 and a star of edges of what it found connected. Cells of more than BLOCK classes are cut into chunks, each visited alike.
 
+Classes are told by hashes of 64 bits of their vectors, whatever ids their rows have.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
-their own component; shorter vectors count as if they ended in zeros; a null vec_id is a class member like any other but
-names a component only where no other id is there; rows with equal vec_ids stay separate rows; an empty table gives an
-empty result; further columns are not read.
+their own component; shorter vectors count as if they ended in zeros; a null vec_id is a class member like any other, but
+the component_id is null only where a component has no other id; rows with equal vec_ids stay separate rows, linked by
+their own vectors alone; components of any finite size are fine; an empty table gives an empty result; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, staged
-from .vectors import batches_of, by_key, centres, nearest, sample, usable
+from .vectors import batches_of, by_key, centres, nearest, sample, scaled, usable
 
-#: Blocks, cells of each block, classes of a chunk of a cell, visitors compared with a chunk at once, pivots' sample.
-PARTS, CELLS, BLOCK, AT_ONCE, SAMPLE = 4, 16, 8192, 512, 2048
+#: Blocks, the fewest and the most cells of each (between them the root of the rows over 200), classes of a chunk of a
+#: cell, visitors compared with a chunk at once, pivots' sample.
+PARTS, CELLS, BLOCK, AT_ONCE, SAMPLE = 4, (16, 256), 8192, 512, 8192
 
 
 class Subspaces:
     """The rotation, the blocks with their budgets and pivots."""
 
-    def __init__(self, x: np.ndarray, threshold: float, parts: int = PARTS, cells: int = CELLS):
+    def __init__(self, x: np.ndarray, threshold: float, parts: int, cells: int):
         self.width = x.shape[1]
         self.threshold = threshold
         self.rotation = np.linalg.qr(np.random.default_rng(17).normal(size=(self.width, self.width)))[0]
@@ -46,7 +50,7 @@ class Subspaces:
         self.pivots = [centres(y[:, a:b], cells) for a, b in self.blocks]
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
-        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ self.rotation
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ self.rotation  # x: scaled
 
     def cells(self, y: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
         """(home cell, mask of the cells to visit): of a pair of cells, members of the lower visit the higher."""
@@ -108,22 +112,23 @@ def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, parts: int = PARTS, cells: int = CELLS) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.9, parts: int = PARTS, cells: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id) of every row; vectors: (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     fit = usable(F.col("embedding"))
     keyed = rows.withColumn("h1", F.when(fit, F.xxhash64("embedding"))).withColumn("h2", F.when(fit, F.xxhash64(F.lit(1), "embedding")))
-    classes = staged(keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("class", F.coalesce("first_id", F.col("h1"))), "vector-classes")
-    width = classes.agg(F.max(F.size("embedding"))).first()[0]
+    classes = staged(keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("class", F.col("h1")), "vector-classes")
+    width, n_classes = classes.agg(F.max(F.size("embedding")), F.count("*")).first()
+    cells = cells or min(max(round((n_classes / 200) ** 0.5), CELLS[0]), CELLS[1])
     if not width:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     picked = sample(classes, SAMPLE)
-    at = Subspaces(np.pad(picked, ((0, 0), (0, width - picked.shape[1]))), threshold, parts, cells)
+    at = Subspaces(scaled(np.pad(picked, ((0, 0), (0, width - picked.shape[1])))), threshold, parts, cells)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                y = at.rotated(batches_of(b.column(0), width))
+                y = at.rotated(scaled(batches_of(b.column(0), width)))
                 cells = np.concatenate([at.cells(y, j)[0] for j in range(len(at.blocks))])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(at.blocks)), len(y))), pa.array(cells)], ["block", "cell"])
 
@@ -139,7 +144,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, parts: int = PARTS, cells:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                x = batches_of(b.column(2), width)
+                x = scaled(batches_of(b.column(2), width))
                 ids, copies, y = b.column(0).to_numpy(), b.column(1).to_numpy(), at.rotated(x)
                 raw = np.array([r.tobytes() for r in x], object)
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -189,6 +194,9 @@ def link(vectors: DataFrame, threshold: float = 0.9, parts: int = PARTS, cells:
     found = staged(dealt.repartition("block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", "side").mapInArrow(join, "class long, links long, other long"), "vector-links")
     roots = components(found.where("other is not null").select(F.col("class").alias("u"), F.col("other").alias("v")))
     counted = found.where("other is null").groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("h1", "h2", "class", "copies").join(counted, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "class").alias("root"))
-    return keyed.join(named, ["h1", "h2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    known = classes.select("h1", "h2", "class", "copies", "first_id").join(counted, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    named = known.select("h1", "h2", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "class").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("least"))
+    named = named.join(least, "root").select("h1", "h2", "n", "least")
+    component = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("least"))
+    return keyed.join(named, ["h1", "h2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

@@ -319,5 +319,13 @@ def test_equal_ids_stay_rows(spark):
     assert sorted(tuple(r) for r in embedding_dedup.link(df).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
 
 
+def test_unlike_vectors_of_one_id_and_huge_ones(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0]), (None, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in embedding_dedup.link(df).collect()), key=str)
+    assert got == sorted([(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (None, 0, None)], key=str)
+    huge = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [-1e300, 1e300]), (5, [1e-310, -1e-310])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in embedding_dedup.link(huge).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
 def test_centres_of_few_rows():
     assert len(vectors.centres(np.array([[1.0, 2.0], [1.0, 2.0]]), 5)) == 1
