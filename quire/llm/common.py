@@ -33,12 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH rows and bytes, which the session keeps for what follows."""
-    conf = df.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows and bytes, which the session keeps for what follows."""
     for name, most in BATCH.items():
-        if not 0 < int(conf.get(name).rstrip("b")) <= most:
-            conf.set(name, str(most))
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
 
 

@@ -176,9 +176,58 @@ def test_shares():
     assert mixing.shares({}, seen) == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.2})
 
 
-@pytest.mark.parametrize("text", [None, "", " ", "one", "a  b\tc\nd ", "x " * 5000])
-def test_tokens(spark, text):
-    assert spark.createDataFrame([(text,)], "t string").select(mixing.tokens_of(F.col("t"))).first()[0] == len((text or "").split())
+def test_counts_of_bytes(monkeypatch):
+    rng = random.Random(10)
+    texts = ["", " ", "one", "a  b\tc\nd ", "x " * 5000, "Ünï 12 (A)\n|é", "word" * 3000] + ["".join(rng.choices("ab1A., \n\té", k=rng.randint(0, 300))) for _ in range(60)]
+    for block in (7, 64, 1 << 18):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        for t, row in zip(texts, mixing.counts([t.encode() for t in texts])):
+            raw = t.encode()
+            assert row[7] == len(raw.split()) and row[:7].sum() == len(raw)
+            assert row[2] == t.count("\n") and row[3] == sum(c.isdigit() for c in t) and row[4] == sum("A" <= c <= "Z" for c in t)
+
+
+def test_topics_are_learned():
+    rng = random.Random(12)
+    prose = [" ".join("abcdefgh"[: rng.randint(2, 8)] for _ in range(rng.randint(80, 200))).encode() for _ in range(40)]
+    tables = ["\n".join(f"{rng.randrange(10**6)} | {rng.randrange(10**6)}" for _ in range(30)).encode() for _ in range(40)]
+    found = mixing.Topics(prose + tables, 2)
+    of = found.of(mixing.counts(prose + tables))
+    assert len(set(of[:40])) == len(set(of[40:])) == 1 and of[0] != of[40]
+
+
+def test_names_with_tabs_stay_apart(spark):
+    rows = [(1, "some words here", "a\tb", "c"), (2, "some words here too", "a", "b\tc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert sorted(r["doc_id"] for r in mixing.mix(df).collect()) == [1, 2]
+
+
+def test_mixing_against_a_plain_version(spark):
+    """Cells, probabilities and decisions made again row by row."""
+    rows = mixed(400)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens string")
+    targets = {"source": None, "lang": {"en": 0.5, "fr": 0.3}, "topic": {}}
+    got = mixing.mix(df, targets).collect()
+    cells = defaultdict(float)
+    for r in got:
+        assert r["tokens_used"] == len(r["text"].split())
+        cells[r["source"], r["lang"] or mixing.NONE, r["topic_used"]] += r["tokens_used"]
+    keys = [k for k, n in sorted(cells.items()) if n]
+    weight = {k: cells[k] for k in keys}
+    total = sum(weight.values())
+    goal = [mixing.shares(targets.get(name), {v: sum(n for k, n in weight.items() if k[i] == v) for v in {k[i] for k in keys}}) for i, name in enumerate(mixing.MARGINALS)]
+    w = {k: n / total for k, n in weight.items()}
+    for _ in range(500):
+        for i in range(3):
+            now = defaultdict(float)
+            for k in keys:
+                now[k[i]] += w[k]
+            w = {k: w[k] * goal[i][k[i]] / now[k[i]] for k in keys}
+    ratio = {k: w[k] / weight[k] for k in keys}
+    draws = {r["doc_id"]: r["d"] for r in df.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id, text, 3), 11) / double(9007199254740992) as d").collect()}
+    for r in got:
+        p = ratio[r["source"], r["lang"] or mixing.NONE, r["topic_used"]] / max(ratio.values())
+        assert r["probability"] == pytest.approx(p, rel=1e-6) and r["kept"] == (draws[r["doc_id"]] < r["probability"])
 
 
 def plain_dice(text, threshold=licenses.THRESHOLD):
