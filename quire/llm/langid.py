@@ -6,7 +6,7 @@ positions. Prediction runs over every byte of every text, in windows that follow
 mean of the position distributions: `score` is that of the best language.
 
 Learning uses the text and lang of a bounded sample of the labelled rows (`per_lang` documents of each language, those
-with the smallest hashes of their id, and `snippets` windows of each); rows that are held out (crc32 of the id as text,
+with the smallest hashes of their id and text, and `snippets` windows of each); rows that are held out (crc32 of the id as text,
 mod 4, is 2) are never learned from. lang, source and doc_id are no inputs of a prediction.
 
 Defined results: null texts and texts without a letter (the empty one too) are `und` with score 0, as is everything
@@ -185,15 +185,21 @@ def snippets_of(text: str, number: int, span: int = SPAN) -> list[bytes]:
 def fit(docs: DataFrame, per_lang: int = 160, snippets: int = 10, **how) -> Network:
     """A network trained on the labelled rows that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(5)).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Network([])
     langs = sorted(counts)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_lang / counts[k])))])
     taken = known.withColumn("place", place).where(F.col("place") <= F.element_at(share, F.col("lang")))
-    cut = F.udf(lambda t: snippets_of(t, snippets), "array<binary>")
-    rows = sorted(taken.select("lang", "place", "doc_id", cut("text").alias("parts")).collect(), key=lambda r: (r["lang"], r["place"], zlib.crc32(b"".join(r["parts"]))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = pa.array([snippets_of(t.as_py(), snippets) for t in b.column(3)], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], parts], ["lang", "place", "doc_id", "parts"])
+
+    found = mapped(taken.select("lang", "place", "doc_id", "text"), cut, "lang string, place double, doc_id long, parts array<binary>")
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["place"], zlib.crc32(b"".join(r["parts"]))))
     parts, truth = [], []
     for i, lang in enumerate(langs):
         mine = [p for r in [r for r in rows if r["lang"] == lang][:per_lang] for p in r["parts"]]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,10 +197,20 @@ def choose(found: list[dict], chance: dict[tuple[int, int, int], float], least:
     """All base spans, and the others that the classifier favours, the likeliest first, where nothing overlaps."""
     kept = [(c["start"], c["end"], c["kind"]) for c in found if c["base"]]
     likely = sorted((-chance[c["kind"], c["votes"], c["shape"]], c["start"], -c["end"], c["kind"]) for c in found if not c["base"] and chance[c["kind"], c["votes"], c["shape"]] >= least)
-    taken = sorted(x[:2] for x in kept)
+    # What is taken, as disjoint intervals in order.
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end, _ in sorted(kept):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for _, start, end, kind in likely:
-        if all(e <= start or s >= -end for s, e in taken):
-            taken.append((start, -end))
+        at = bisect_right(starts, start)
+        if (not at or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= -end):
+            starts.insert(at, start)
+            ends.insert(at, -end)
             kept.append((start, -end, kind))
     return sorted(kept, key=lambda x: (x[0], x[2], x[1]))
 

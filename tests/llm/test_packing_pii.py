@@ -124,6 +124,21 @@ def test_base_equals_the_patterns(text):
     assert sorted(pii.base(text), key=lambda x: (x[0], x[2])) == plain(text)
 
 
+def test_chosen_spans_do_not_overlap():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        found = [{"start": int(s), "end": int(s + n), "kind": 0, "votes": int(v), "shape": 0, "base": bool(b)} for s, n, v, b in zip(rng.integers(0, 60, 12), rng.integers(1, 9, 12), range(12), rng.random(12) < 0.3)]
+        chance = {(0, v, 0): float(p) for v, p in enumerate(rng.random(12))}
+        taken = [(c["start"], c["end"]) for c in found if c["base"]]
+        expected = [*taken]
+        for c in sorted((c for c in found if not c["base"] and chance[0, c["votes"], 0] >= 0.3), key=lambda c: (-chance[0, c["votes"], 0], c["start"], -c["end"])):
+            if all(e <= c["start"] or s >= c["end"] for s, e in expected):
+                expected.append((c["start"], c["end"]))
+        assert sorted(x[:2] for x in pii.choose(found, chance, 0.3)) == sorted(expected)
+    many = [{"start": i * 3, "end": i * 3 + 2, "kind": 1, "votes": 0, "shape": 0, "base": False} for i in range(20000)]
+    assert len(pii.choose(many, {(1, 0, 0): 0.9}, 0.5)) == 20000
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
