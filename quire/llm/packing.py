@@ -34,7 +34,7 @@ from .common import mapped, staged
 
 WINDOW, END = 1024, 0
 #: Bytes that one worker's memory of chunks of text and their ids may take, and the longest chunk that it remembers.
-CACHE, LONGEST = 24 << 20, 48
+CACHE, LONGEST = 48 << 20, 48
 #: Tokens whose pieces are held at once, if no document alone has more.
 HELD = 1 << 19
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -279,8 +279,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         run = np.searchsorted(rank, n, "right") - 1
         return pa.StructArray.from_arrays([pa.array(sequence[run] + n - rank[run]), pa.array(offset[run])], ["sequence_id", "offset"])
 
-    numbered = cut.join(mapped(listed, starts, "task long, starts array<long>"), "task")
+    joined = cut.join(mapped(listed, starts, "task long, starts array<long>"), "task")
     number = F.element_at("starts", (F.col("length") + 1).cast("int")) + F.col("nth")
+    # explode: a step of its own, after which no row holds its task's list any more.
+    numbered = joined.select(*cut.columns, F.explode(F.array(number)).alias("number"))
     # Only numbers go to Python; ids stay where they are.
-    placed = numbered.withColumn("place", F.arrow_udf(place, "sequence_id long, offset long")(number))
+    placed = numbered.withColumn("place", F.arrow_udf(place, "sequence_id long, offset long")("number"))
     return placed.select(*[c for c in cut.columns if c not in ("task", "nth")], "place.sequence_id", "place.offset")
