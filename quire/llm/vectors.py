@@ -18,8 +18,14 @@ def usable(embedding: Column) -> Column:
 
 def sample(vectors: DataFrame, rows: int, *by: str) -> np.ndarray:
     """At most `rows` of the vectors, those with the smallest hashes of their values and of `by`, as a matrix of doubles."""
-    taken = vectors.select("embedding", F.xxhash64("embedding", *by).alias("h")).orderBy("h").limit(rows).collect()
-    return matrix([r[0] for r in taken])
+    return matrix([r["embedding"] for r in smallest(vectors.select("embedding", F.xxhash64("embedding", *by).alias("h")), rows)])
+
+
+def smallest(hashed: DataFrame, rows: int) -> list:
+    """At most `rows` of the rows, those with the smallest hashes `h`: of all rows, only half as many more are collected."""
+    place = F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+    share = 1.5 * rows / max(1, hashed.count())
+    return sorted((hashed.where(place <= share) if share < 1 else hashed).collect(), key=lambda r: (r["h"] & (1 << 62) - 1, r["h"]))[:rows]
 
 
 def scaled(x: np.ndarray) -> np.ndarray:

@@ -191,7 +191,7 @@ def test_topics_are_learned():
     rng = random.Random(12)
     prose = [" ".join("abcdefgh"[: rng.randint(2, 8)] for _ in range(rng.randint(80, 200))).encode() for _ in range(40)]
     tables = ["\n".join(f"{rng.randrange(10**6)} | {rng.randrange(10**6)}" for _ in range(30)).encode() for _ in range(40)]
-    found = mixing.Topics(prose + tables, 2)
+    found = mixing.Topics(mixing.counts(prose + tables).tolist(), 2)
     of = found.of(mixing.counts(prose + tables))
     assert len(set(of[:40])) == len(set(of[40:])) == 1 and of[0] != of[40]
 
