@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import text as T
 
+SUMMARY_COLUMNS = tuple(C.SUMMARY_COLUMNS)
 KEY = ["peripheral", "register_name", "doc_id"]
 
 
@@ -57,6 +58,11 @@ def build_registers(tables: DataFrame, blocks: DataFrame, registry: DataFrame) -
     return registers, fields
 
 
+def empty_facts(registers: DataFrame) -> DataFrame:
+    """One row: registers, and how many of them have no address, no reset value, no access."""
+    return registers.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit("")) == "").alias(f"no_{c}") for c in SUMMARY_COLUMNS])
+
+
 def with_table_ids(tables: DataFrame) -> DataFrame:
     """General tables with clean headers and table_id; a repeated id gets -1, -2, ... in file order, within a document."""
     kept = tables.where(C.is_general_table(F.col("is_register"), F.col("header"), F.col("rows")) & F.col("doc_id").isNotNull())

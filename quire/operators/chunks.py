@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.splitter import split_rows
+from ..schemas import ELEMENT_TYPES
 from .catalogs import KEY, with_table_ids
 
 
-
 def _chunk(df: DataFrame, kind: str, **more: Column) -> DataFrame:
     """The columns of a chunk from (doc_id, revision, chip_part, section_path, page_start, page_end) and what differs."""
     empty = {c: F.lit("") for c in ("peripheral", "register_name", "figure_id", "image_path", "table_id")} | {c: F.array().cast("array<string>") for c in ("figure_refs", "table_refs")}
@@ -70,6 +70,12 @@ def counts_by_type(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.coalesce("element_type", F.lit("unknown")).alias("element_type")).agg(F.count("*").alias("n"))
 
 
+def missing_types(chunks: DataFrame) -> DataFrame:
+    """(element_type): the kinds of chunks of which there is none."""
+    need = chunks.sparkSession.createDataFrame([(x,) for x in ELEMENT_TYPES], "element_type string")
+    return need.join(counts_by_type(chunks), "element_type", "left_anti")
+
+
 def resolved_refs(chunks: DataFrame) -> DataFrame:
     """(doc_id, render_text, ref, kind, target): prose references joined with the figures and tables that they name."""
     said = chunks.where("element_type = 'prose'").select("doc_id", "render_text", F.explode(F.concat(F.transform("figure_refs", lambda r: F.struct(F.lit("figure").alias("kind"), r.alias("ref"))), F.transform("table_refs", lambda r: F.struct(F.lit("table").alias("kind"), r.alias("ref"))))).alias("r"))

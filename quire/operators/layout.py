@@ -79,6 +79,14 @@ def captions(blocks: DataFrame) -> DataFrame:
     )
 
 
+def with_floor(found: DataFrame, gap: float = 5.0) -> DataFrame:
+    """found with `floor`: the lowest end of the captions of its page that begin more than `gap` above, else the header's."""
+    page = ["doc_id", "page"]
+    other = found.select(*page, F.col("caption_y").alias("oy"), F.col("caption_y1").alias("oy1"))
+    above = F.max(F.when(F.col("oy") < F.col("caption_y") - gap, F.col("oy1"))).alias("floor")
+    return found.join(other, page, "left").groupBy(*found.columns).agg(above).withColumn("floor", F.coalesce("floor", F.lit(HEADER_Y)))
+
+
 def crops(found: DataFrame, drawings: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Captions with crop_y0 and crop_y1: from the last cluster of drawings above the caption, not reaching over an
     earlier caption or a paragraph; from the text alone where nothing is drawn; a share of the page where that is too low.
@@ -86,8 +94,7 @@ def crops(found: DataFrame, drawings: DataFrame, blocks: DataFrame, pages: DataF
     pages: (doc_id, page, height).
     """
     page = ["doc_id", "page"]
-    other = found.select(*page, F.col("caption_y").alias("oy"), F.col("caption_y1").alias("oy1"))
-    floor = found.join(other, page, "left").groupBy(*found.columns).agg(F.max(F.when(F.col("oy") < F.col("caption_y") - 5, F.col("oy1"))).alias("floor")).withColumn("floor", F.coalesce("floor", F.lit(HEADER_Y)))
+    floor = with_floor(found)
     cap = [*page, "line_no"]
     drawn = floor.join(drawings, page).where((F.col("y1") > F.col("floor")) & (F.col("y0") < F.col("caption_y")))
     union = drawn.groupBy(*cap).agg((F.max("y1") - F.min(F.greatest("y0", "floor"))).alias("drawn"))

@@ -51,7 +51,9 @@ def registers_named(registers: DataFrame, bit_fields: DataFrame, doc_id: str, na
     """Registers of a document by name or its beginning, each with its fields in order."""
     hits = registers.where((F.col("doc_id") == doc_id) & name_matches(F.col("register_name"), name))
     field = F.struct("field_ord", "bits", "symbol", "access", "reset", "description")
-    fields = bit_fields.where(F.col("doc_id") == doc_id).groupBy(*KEY).agg(F.array_sort(F.collect_list(field)).alias("f"))
+    # Fields of the hits alone are gathered.
+    mine = bit_fields.where(F.col("doc_id") == doc_id).join(hits.select(*KEY), KEY, "left_semi")
+    fields = mine.groupBy(*KEY).agg(F.array_sort(F.collect_list(field)).alias("f"))
     joined = hits.join(fields, KEY, "left")
     return joined.select(
         "peripheral", "register_name", "address", "size_bits", "reset_value", "access", T.or_else(F.col("section_path"), T.UNKNOWN_SECTION).alias("section_path"), F.coalesce("page_start", F.lit(0)).alias("page"),
@@ -120,13 +122,14 @@ class Manuals:
 
     def get_figure(self, figure_id: str, chip_part: str) -> dict | None:
         hits = self.index.where((F.col("figure_id") == figure_id) & (F.col("chip_part") == chip_part)).withColumn("parts", T.caption_parts(F.col("render_text")))
-        found = hits.orderBy("page_start", "render_text").first()
+        doc = self._document(chip_part, last=False)
+        known = [F.lit(doc[c] if doc else "") for c in ("doc_id", "revision")]
+        cited = T.figure_citation(F.col("citation"), *known, T.or_else(F.col("section_path"), T.UNKNOWN_SECTION), F.coalesce("page_start", F.lit(0)), F.lit(figure_id))
+        found = hits.withColumn("cited", cited).orderBy("page_start", "render_text").first()
         if found is None:
             return None
-        doc = self._document(chip_part, last=False)
         section, page = found["section_path"] or T.UNKNOWN_SECTION, found["page_start"] or 0
-        own = f"【{doc['doc_id'] if doc else ''} Rev.{doc['revision'] if doc else ''} | {section} | p.{page} | {figure_id}】"
-        return {"figure_id": figure_id, "caption": found["parts"]["caption"], "vlm_summary": found["parts"]["summary"], "image_path": found["image_path"], "section_path": section, "page": page, "citation": found["citation"] or own}
+        return {"figure_id": figure_id, "caption": found["parts"]["caption"], "vlm_summary": found["parts"]["summary"], "image_path": found["image_path"], "section_path": section, "page": page, "citation": found["cited"]}
 
     def get_table(self, table_id: str, chip_part: str) -> dict | None:
         doc = self._document(chip_part)

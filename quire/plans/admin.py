@@ -113,7 +113,7 @@ class Admin:
     def documents_markdown(self) -> str:
         rows = self.list_documents()
         if not rows:
-            return "_No documents yet. Add one below to get started._"
+            return "_No documents yet._"
         listed = self.store.spark.createDataFrame([(i, r["doc_id"], r["chip_part"], r["folder"], r["pdf_exists"], r["chunk_count"], r["register_count"]) for i, r in enumerate(rows)], "i int, d string, c string, f string, p boolean, n long, r long")
         line = T.document_line(F.col("d"), F.col("c"), F.col("f"), T.status_badge(F.col("p"), F.col("n")), F.col("n"), F.col("r"))
         return "\n".join(["| Document | Chip | Folder | Status | Chunks | Registers |", "|---|---|---|---|---|---|", *(r[0] for r in listed.orderBy("i").select(line).collect())])

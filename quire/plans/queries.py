@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions.splitter import split_rows
 from ..operators import catalogs, chunks, layout, search
 from ..operators.embed import HashingEmbedder, embed
+from ..sources.files import Store, read_jsonl, write_jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,30 +117,11 @@ def field_by_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_type", "p_partkey", "bits", "symbol")
 
 
-@query("""SELECT '[' || o_orderpriority || ' > O' || o_orderkey || '] bits ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_linestatus || ' | reset ' || l_partkey || ' | ' || l_suppkey AS render_text,
-  '【O' || o_orderkey || ' Rev.' || o_orderstatus || ' | ' || o_orderpriority || ' | p.' || o_custkey || '】' AS citation FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
-def child_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rendered row for each line item (bit field) of each order (register)."""
-    joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    name = F.concat(F.lit("O"), text_of("o_orderkey"))
-    said = T.register_row_text(F.col("o_orderpriority"), name, text_of("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus"), text_of("l_partkey"), text_of("l_suppkey"))
-    return joined.select(said.alias("render_text"), T.citation(name, F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey")).alias("citation"))
-
-
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.latest(load(spark, sf_dir, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""SELECT user_id, arg_min(value, (ts, event_id)) FILTER (WHERE value > 200) AS first_large, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'signup') AS first_signup FROM events GROUP BY user_id""")
-def first_nonempty_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each register (user) the first value of each field that is there, fields apart."""
-    order = F.struct("ts", "event_id")
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min_by("value", F.when(F.col("value") > 200, order)).alias("first_large"), F.min_by("event_id", F.when(F.col("event_type") == "signup", order)).alias("first_signup")
-    )
-
-
 @query("""WITH s AS (SELECT s_nationkey, arg_min(CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END, s_suppkey) AS summary FROM supplier GROUP BY 1)
 SELECT c_custkey, coalesce(nullif(summary, ''), nullif(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE c_mktsegment END, ''), '') AS address FROM customer LEFT JOIN s ON s_nationkey = c_nationkey""")
 def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,33 +169,6 @@ def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(_spans(spark, sf_dir), ["user_id"], "y0", "y1", 3_600_000_000, ("event_id",)).select("event_id", "user_id", F.col("cluster").cast("long").alias("cluster"))
 
 
-@query(
-    f"""WITH {_SPANS} SELECT s.event_id, coalesce(max(p.y1), 75) AS floor FROM spans s LEFT JOIN spans p ON p.user_id = s.user_id AND p.event_type = s.event_type AND p.y0 < s.y0 - 86400000000 GROUP BY s.event_id"""
-)
-def prev_floor_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lowest end of the spans (captions) that begin more than a day before, of the same user and type.
-
-    A window over the sorted starts: a strict bound is one microsecond short of the inclusive one.
-    """
-    reach = Window.partitionBy("user_id", "event_type").orderBy("y0").rangeBetween(Window.unboundedPreceding, -86_400_000_001)
-    return _spans(spark, sf_dir).select("event_id", F.coalesce(F.max("y1").over(reach), F.lit(75)).cast("long").alias("floor"))
-
-
-@query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events""")
-def forward_fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A column of a table (user) whose merged cells are null, filled from above."""
-    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
-    above = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return load(spark, sf_dir, "events").select("event_id", F.last(value, ignorenulls=True).over(above).alias("filled"))
-
-
-@query("""SELECT p_partkey, p_type || '>' || p_type || '>' || p_brand || '>' || p_brand AS filled FROM part""")
-def header_fill_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank header cells filled from the left."""
-    row = F.array(F.concat(F.col("p_type"), F.lit(" ")), F.lit(" "), F.col("p_brand"), F.lit(None).cast("string"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(C.fill_right(row), ">").alias("filled"))
-
-
 @query("""SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, coalesce(text, '')) AS full_text, min(turn) AS page_start, max(turn) AS page_end FROM conversations GROUP BY conv_id""")
 def section_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns (blocks) of a conversation (section) as one text, with its first and last page."""
@@ -234,18 +189,6 @@ def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir).select("doc_id", F.explode(F.concat(T.figure_refs(F.col("text")), T.table_refs(F.col("text")))).alias("ref"))
 
 
-@query("""WITH m AS (SELECT doc_id, 'Table ' || (doc_id % 9) || '.' || (doc_id % 4) AS said FROM documents), d AS (SELECT p_partkey, 'table-' || (p_partkey % 11) || '.' || (p_partkey % 6) AS ref FROM part)
-SELECT doc_id, count(p_partkey) AS n_targets, min(p_partkey) AS first_target FROM m LEFT JOIN d ON ref = 'table-' || substr(said, 7) GROUP BY doc_id""")
-def ref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References joined with what they name; targets are counted before the join, so a hot id stays one row."""
-    k, p = F.col("doc_id"), F.col("p_partkey")
-    said = F.concat(F.lit("Table "), (k % 9).cast("string"), F.lit("."), (k % 4).cast("string"))
-    refs = load(spark, sf_dir, "documents").select("doc_id", F.explode(T.table_refs(said)).alias("ref"))
-    targets = load(spark, sf_dir, "part").select("p_partkey", T.table_id(F.concat(F.lit("Table "), (p % 11).cast("string"), F.lit("."), (p % 6).cast("string")), F.lit(1), F.lit(0)).alias("ref"))
-    counted = targets.groupBy("ref").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_target"))
-    return refs.join(counted, "ref", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_targets"), "first_target")
-
-
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Table "), F.col("p_size").cast("string"), F.lit(".1 "), F.col("p_name"))).otherwise(F.concat(F.lit("-- "), F.col("p_name"), F.lit(" / "), F.col("p_type")))
     return load(spark, sf_dir, "part").select("p_partkey", "p_brand", title.alias("title"), F.col("p_size").alias("page"), (F.col("p_partkey") % 4).cast("int").alias("idx"))
@@ -316,14 +259,6 @@ def bit_field_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", F.explode(C.bit_fields(F.array(row))).alias("f")).select("p_partkey", "f.*")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '0 0: ' || p_name || '; 0 1: ' || p_type || ' more' WHEN 1 THEN p_name || ' ' || p_type ELSE p_brand END AS cell FROM part""")
-def cell_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option lists on one line, wrapped lines joined."""
-    k = F.col("p_partkey")
-    raw = F.when(k % 3 == 0, F.concat(F.lit("0 0: "), F.col("p_name"), F.lit("\n\n0 1: "), F.col("p_type"), F.lit("\n more "))).when(k % 3 == 1, F.concat(F.col("p_name"), F.lit("\n"), F.col("p_type"))).otherwise(F.concat(F.lit("\n "), F.col("p_brand")))
-    return load(spark, sf_dir, "part").select("p_partkey", C.clean_cell(raw).alias("cell"))
-
-
 @query("""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title, '§' || coalesce(nullif(regexp_extract(url, '://([^/]+)', 1), ''), '?') || ' > §' || trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS section_path FROM pages""")
 def title_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as contents entries: host above title."""
@@ -370,28 +305,6 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.counts_by_type(_kinds(spark, sf_dir))
 
 
-@query("SELECT x AS element_type FROM unnest(['prose', 'register_row', 'figure', 'table_summary', 'table_row']) t(x) WHERE x NOT IN ('prose', 'figure')")
-def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required kinds that an index lacks; the pages and conversations alone make two."""
-    from ..schemas import ELEMENT_TYPES
-
-    need = spark.createDataFrame([(x,) for x in ELEMENT_TYPES], "element_type string")
-    return need.join(counts_by_type(spark, sf_dir).where("element_type in ('prose', 'figure')"), "element_type", "left_anti")
-
-
-@query("""SELECT doc_id, source, n_chars FROM documents WHERE source <> 'src3' OR source IS NULL UNION ALL SELECT doc_id + 1000000000, source, n_chars FROM documents WHERE source = 'src3' AND lang = 'en'""")
-def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document (source) exchanged for new rows, all others kept."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    new = docs.where("source = 'src3' and lang = 'en'").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
-    return docs.where("source <> 'src3' or source is null").unionByName(new).select("doc_id", "source", "n_chars")
-
-
-@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE source <> 'src3' OR source IS NULL GROUP BY source")
-def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("source <> 'src3' or source is null").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
-
-
 @query("""WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey, coalesce(n, 0) AS chunk_count, CASE WHEN c_acctbal < 0 THEN '❌ PDF missing' WHEN coalesce(n, 0) > 0 THEN '✅ Indexed' ELSE '⚠️ Not yet indexed' END AS status FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
 def list_documents_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,41 +371,220 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def split_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in pieces of at most 500 characters."""
+    return split_rows(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+@query()
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors of the benchmark's passages."""
+    made = embed(load(spark, sf_dir, "benchmark").select("item_id", "text"), "text", HashingEmbedder(64))
+    return made.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"), F.size("embedding").alias("width"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, upper(event_type) AS upper_name, event_id, CASE WHEN value > 200 THEN 'A' || event_id ELSE '' END AS a, CASE WHEN event_id % 3 = 0 THEN 'R' || event_id ELSE '' END AS r FROM events)
+SELECT doc_id, upper_name, arg_min(a, event_id) FILTER (WHERE a <> '') AS address, arg_min(r, event_id) FILTER (WHERE r <> '') AS reset_value, arg_min('W' || event_id, event_id) AS access FROM e GROUP BY ALL""")
+def first_nonempty_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the tables of a user (document) that list registers: the first address, reset and access of each name."""
+    k = text_of("event_id")
+    row = F.create_map(F.lit("Symbol"), F.col("event_type"), F.lit("Address"), F.when(F.col("value") > 200, F.concat(F.lit("A"), k)).otherwise(""), F.lit("Initial Value"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("R"), k)).otherwise(""), F.lit("R/W"), F.concat(F.lit("W"), k))
+    tables = load(spark, sf_dir, "events").select(text_of("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.lit(False).alias("is_register"), F.array(*map(F.lit, ("Symbol", "Address", "Initial Value", "R/W"))).alias("header"), F.array(row).alias("rows"))
+    return catalogs.summary_index(tables)
+
+
+@query(
+    f"""WITH {_SPANS} SELECT s.event_id, coalesce(max(p.y1), 75)::DOUBLE AS floor FROM spans s LEFT JOIN spans p ON p.user_id = s.user_id AND p.event_type = s.event_type AND p.y0 < s.y0 - 86400000000 GROUP BY s.event_id"""
+)
+def prev_floor_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as captions, a page for each user and type: the lowest end of those that begin more than a day before."""
+    found = _spans(spark, sf_dir).select("event_id", F.col("user_id").alias("doc_id"), F.col("event_type").alias("page"), F.col("y0").alias("caption_y"), F.col("y1").cast("double").alias("caption_y1"))
+    return layout.with_floor(found, 86_400_000_000).select("event_id", "floor")
+
+
+@query("""WITH said AS (SELECT doc_id AS k, 'table-' || (doc_id % 9) || '.' || (doc_id % 4) AS ref, 'table' AS kind FROM documents UNION ALL SELECT doc_id, 'Figure ' || (doc_id % 7 + 1) || '.' || (doc_id % 5), 'figure' FROM documents),
+target AS (SELECT 'table-' || (n_nationkey // 4) || '.' || (n_nationkey % 4) AS ref, 'table' AS kind, n_name AS target FROM nation UNION ALL SELECT 'Figure ' || (r_regionkey + 1) || '.' || r_regionkey, 'figure', r_name FROM region)
+SELECT 'd' || k AS render_text, said.kind, said.ref, target FROM said LEFT JOIN target ON target.ref = said.ref AND target.kind = said.kind""")
+def ref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prose with references, nations as tables and regions as figures: references joined with their targets."""
+    k, n, r = F.col("doc_id"), F.col("n_nationkey"), F.col("r_regionkey")
+    dotted = lambda head, a, b: F.concat(F.lit(head), a.cast("string"), F.lit("."), b.cast("string"))
+    none = F.array().cast("array<string>")
+    said = F.concat(F.lit("See "), dotted("Table ", k % 9, k % 4), dotted(" and fig. ", k % 7 + 1, k % 5))
+    columns = lambda kind, render, figures, tables, figure, table: [F.lit("m").alias("doc_id"), render.alias("render_text"), F.lit(kind).alias("element_type"), figures.alias("figure_refs"), tables.alias("table_refs"), figure.alias("figure_id"), table.alias("table_id")]
+    empty = F.lit("")
+    made = load(spark, sf_dir, "documents").select(*columns("prose", F.concat(F.lit("d"), k.cast("string")), T.figure_refs(said), T.table_refs(said), empty, empty))
+    made = made.unionByName(load(spark, sf_dir, "nation").select(*columns("table_summary", F.col("n_name"), none, none, empty, T.table_id(dotted("Table ", F.floor(n / 4), n % 4), F.lit(1), F.lit(0)))))
+    made = made.unionByName(load(spark, sf_dir, "region").select(*columns("figure", F.col("r_name"), none, none, dotted("Figure ", r + 1, r), empty)))
+    return chunks.resolved_refs(made).select("render_text", "kind", "ref", "target")
+
+
+@query("SELECT x AS element_type FROM unnest(['prose', 'register_row', 'figure', 'table_summary', 'table_row']) t(x) WHERE x NOT IN (SELECT CASE turn % 3 WHEN 0 THEN 'prose' WHEN 1 THEN 'figure' ELSE 'note' END FROM conversations)")
+def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as chunks of a kind each: the kinds that are wanting."""
+    kind = F.when(F.col("turn") % 3 == 0, "prose").when(F.col("turn") % 3 == 1, "figure").otherwise("note")
+    return chunks.missing_types(load(spark, sf_dir, "conversations").select(kind.alias("element_type")))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS no_address, count(*) FILTER (WHERE p_partkey % 5 < 2) AS no_reset_value, 0::BIGINT AS no_access FROM part")
+def empty_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as registers: how many lack a fact."""
+    k = F.col("p_partkey")
+    facts = load(spark, sf_dir, "part").select(F.when(k % 3 != 0, "0x0").otherwise("").alias("address"), F.when(k % 5 == 0, "").when(k % 5 > 1, "00H").alias("reset_value"), F.lit("R").alias("access"))
+    return catalogs.empty_facts(facts)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of this session's own under spark.checkpoint.dir (where that is unset, on one machine, a temporary one)."""
+    import atexit
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    path = f"{root}/store-{uuid.uuid4().hex}"
+    fs, where = Store(spark, path)._files(path)
+    atexit.register(lambda: spark.sparkContext._jsc and fs.delete(where, True))
+    return path
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """Documents in a store, each source a document of it."""
+    rows = load(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("doc_id"), F.col("doc_id").alias("k"), "lang", "n_chars")
+    store = Store(spark, _folder(spark))
+    store.overwrite("rows", rows)
+    return store, rows
+
+
+@query("""WITH d AS (SELECT coalesce(source, 'none') AS doc_id, doc_id AS k, lang, n_chars FROM documents)
+SELECT doc_id, k, n_chars FROM d WHERE doc_id NOT IN ('src3', 'src1') UNION ALL SELECT doc_id, k + 1000000000, n_chars FROM d WHERE doc_id = 'src3' AND lang = 'en'""")
+def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents (sources) of a store exchanged for new rows, of which one has none; all others are kept."""
+    store, rows = _stored(spark, sf_dir)
+    new = rows.where("doc_id = 'src3' and lang = 'en'").withColumn("k", F.col("k") + 1_000_000_000)
+    store.replace_documents("rows", new, ["src3", "src1"])
+    return store.read("rows", "k long, n_chars long, doc_id string").select("doc_id", "k", "n_chars")
+
+
+@query("SELECT coalesce(source, 'none') AS doc_id, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE source <> 'src3' OR source IS NULL GROUP BY 1")
+def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of a store deleted with its rows."""
+    store, _ = _stored(spark, sf_dir)
+    store.delete_document("rows", "src3")
+    return store.read("rows", "k long, n_chars long, doc_id string").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("""SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS line_no FROM nation""")
+def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as JSON lines and read again, with their places."""
+    path = _folder(spark)
+    write_jsonl(load(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey"), path)
+    return read_jsonl(spark, path, "n_nationkey int, n_name string")
+
+
+def _rendered(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "element_type", "render_text", "citation")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """A registry of what doc_id holds."""
+    return df.select("doc_id", F.lit("2").alias("revision"), F.concat(F.lit("chip "), F.col("doc_id")).alias("chip_part")).distinct()
+
+
+@query("""SELECT o_orderstatus AS doc_id, 'register_row' AS element_type, '[' || o_orderpriority || ' > O' || o_orderkey || '] bits ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_linestatus || ' | reset ' || l_partkey || ' | ' || l_suppkey AS render_text,
+  '【' || o_orderstatus || ' Rev.2 | ' || o_orderpriority || ' | p.' || (o_custkey % 100) || '】' AS citation FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def child_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk for each line item (bit field) of each order (register)."""
+    key = {"register_name": F.concat(F.lit("O"), text_of("o_orderkey")), "peripheral": F.col("o_orderpriority"), "doc_id": F.col("o_orderstatus")}
+    orders = load(spark, sf_dir, "orders").withColumns(key).withColumn("o_custkey", (F.col("o_custkey") % 100).cast("int"))
+    registers = orders.select(*key, F.col("o_orderpriority").alias("section_path"), F.col("o_custkey").alias("page_start"))
+    lines = load(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", *key), F.col("l_orderkey") == F.col("o_orderkey"))
+    fields = lines.select(*key, text_of("l_linenumber").alias("bits"), F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("access"), text_of("l_partkey").alias("reset"), text_of("l_suppkey").alias("description"))
+    return _rendered(chunks.register_row_chunks(registers, fields, _documents(registers)))
+
+
+@query("""SELECT p_brand AS doc_id, 'figure' AS element_type, '[' || CASE WHEN p_partkey % 4 = 0 THEN '§UNKNOWN' ELSE '§' || p_type END || ' > Figure 1.' || p_size || '] ' || p_name || '. ' AS render_text,
+  '【' || p_brand || ' Rev.2 | ' || CASE WHEN p_partkey % 4 = 0 THEN '§UNKNOWN' ELSE '§' || p_type END || ' | p.' || p_size || '】' AS citation FROM part""")
+def figure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as figures of a manual for each brand."""
+    section = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("§"), F.col("p_type")))
+    found = load(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_size").cast("int").alias("page"), F.concat(F.lit("Figure 1."), text_of("p_size")).alias("figure_id"), F.col("p_name").alias("caption"), F.lit(None).cast("string").alias("vlm_summary"), F.lit("x.png").alias("image_path"), section.alias("section_path"))
+    return _rendered(chunks.figure_chunks(found, _documents(found)))
+
+
+def _part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables of a manual for each brand: register tables among them, some without rows or title."""
+    k = F.col("p_partkey")
+    row = F.create_map(F.lit(" Name"), F.col("p_name"), F.lit("Size"), F.when(k % 2 == 0, text_of("p_size")).otherwise(" "), F.lit("Type"), F.col("p_type"))
+    blank = F.create_map(F.lit("Size"), F.lit(""))
+    header = F.when(k % 7 == 0, F.array(F.lit("Bit"), F.lit("Size"))).otherwise(F.array(F.lit("Size"), F.lit(None), F.lit(" Type "), F.lit("")))
+    return load(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("doc_id"), F.col("p_size").cast("int").alias("page"), F.lit(0).alias("table_idx"), F.when(k % 3 != 0, "§1 Parts").alias("section_path"), (k % 11 == 0).alias("is_register"),
+        F.when(k % 5 != 0, F.concat(F.lit("Table 1."), text_of("p_size"), F.lit(" parts"))).alias("table_title"), header.alias("header"), F.when(k % 13 != 0, F.array(row, blank)).alias("rows"), k.alias("line_no"),
+    )
+
+
+_PART_TABLES = """kept AS (SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN 'Table 1.' || p_size || ' parts' END AS title, coalesce(CASE WHEN p_partkey % 3 <> 0 THEN '§1 Parts' END, '§UNKNOWN') AS section FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0),
+based AS (SELECT *, CASE WHEN title IS NULL THEN 'table-p' || p_size || '-0' ELSE 'table-1.' || p_size END AS base FROM kept),
+ided AS (SELECT *, row_number() OVER (PARTITION BY p_brand, base ORDER BY p_partkey) - 1 AS nth FROM based)"""
+
+
+@query(f"""WITH {_PART_TABLES} SELECT base || CASE WHEN nth = 0 THEN '' ELSE '-' || nth END AS table_id, coalesce(title, '') AS title, p_brand AS doc_id, 'chip ' || p_brand AS chip_part, section AS section_path, p_size AS page,
+  coalesce('**' || title || '**' || chr(10) || chr(10), '') || '| Size | Type |' || chr(10) || '|---|---|' || chr(10) || '| ' || CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '' END || ' | ' || p_type || ' |' || chr(10) || '|  |  |' AS markdown FROM ided""")
+def general_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of general tables: ids within a manual, Markdown, sections."""
+    found = _part_tables(spark, sf_dir)
+    return catalogs.build_general_tables(found, _documents(found))
+
+
+@query(f"""WITH {_PART_TABLES}, said AS (SELECT p_brand, section, p_size, 'table_summary' AS element_type, coalesce(title, 'Untitled table') || ' (in ' || section || ') — a table with 2 row(s). Columns: Size, Type.' AS render_text FROM ided
+UNION ALL SELECT p_brand, section, p_size, 'table_row', 'In ' || coalesce(title, 'this table') || ', ' || CASE WHEN p_partkey % 2 = 0 THEN 'Size is ' || p_size || ', ' ELSE '' END || 'Type is ' || p_type || '.' FROM ided)
+SELECT p_brand AS doc_id, element_type, render_text, '【' || p_brand || ' Rev.2 | ' || section || ' | p.' || p_size || '】' AS citation FROM said""")
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary and row sentences of general tables; blank rows say nothing."""
+    found = _part_tables(spark, sf_dir)
+    return _rendered(chunks.table_chunks(found, _documents(found)))
+
+
+@query("""WITH pg AS (SELECT 'Brand#' || (s_suppkey % 25) AS doc, s_suppkey % 50 + 1 AS page, arg_min('0x4000' || s_suppkey, s_suppkey) AS address FROM supplier GROUP BY ALL),
+named AS (SELECT p_brand AS doc_id, p_size AS page_start, p_partkey, coalesce(address, '') AS address, CASE WHEN p_partkey % 2 = 0 THEN 'REG' || p_size WHEN address IS NOT NULL THEN 'SUPPLY_REG' ELSE 'REG_' || p_partkey END AS register_name,
+  CASE WHEN address IS NULL THEN 'UNKNOWN' ELSE 'SCI' END AS peripheral, CASE WHEN address IS NULL THEN '' ELSE '§1 Alpha > §1.1 SCI' END AS section_path FROM part LEFT JOIN pg ON doc = p_brand AND page = p_size)
+SELECT doc_id, peripheral, register_name, address, '' AS access, section_path, page_start, 1::BIGINT AS n_fields, upper(p_name) AS symbol FROM named JOIN part USING (p_partkey) QUALIFY row_number() OVER (PARTITION BY peripheral, register_name, doc_id ORDER BY p_partkey DESC) = 1""")
 def register_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registers, with their fields counted, built from parts as register tables and suppliers as pages' prose."""
+    """Registers, with their fields, built from parts as register tables and suppliers as pages' prose."""
     part = load(spark, sf_dir, "part")
     row = F.create_map(F.lit("Bit"), text_of("p_size"), F.lit("Symbol"), F.upper("p_name"), F.lit("R/W"), F.lit("R"), F.lit("Reset"), F.lit("0"), F.lit("Description"), F.col("p_type"))
     tables = part.select(
-        F.col("p_brand").alias("doc_id"), (F.col("p_size")).alias("page"), F.lit(0).alias("table_idx"), F.lit("").alias("section_path"), F.lit(True).alias("is_register"), F.lit("").alias("table_title"),
+        F.col("p_brand").alias("doc_id"), F.col("p_size").alias("page"), F.lit(0).alias("table_idx"), F.lit("").alias("section_path"), F.lit(True).alias("is_register"), F.lit("").alias("table_title"),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("REG"), text_of("p_size"))).otherwise("").alias("register_name"), F.lit("").alias("peripheral"), F.array(F.lit("Bit")).alias("header"), F.array(row).alias("rows"), F.col("p_partkey").alias("line_no"),
     )
     blocks = load(spark, sf_dir, "supplier").select(
         F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25).cast("string")).alias("doc_id"), (F.col("s_suppkey") % 50 + 1).cast("int").alias("page"), F.concat(F.lit("SUPPLY_REG address 0x4000"), text_of("s_suppkey")).alias("text"), F.lit("§1 Alpha > §1.1 SCI").alias("section_path"), F.col("s_suppkey").alias("line_no")
     )
-    registry = part.select(F.col("p_brand").alias("doc_id"), F.lit("1").alias("revision"), F.col("p_brand").alias("chip_part")).distinct()
-    registers, fields = catalogs.build_registers(tables, blocks, registry)
-    counted = fields.groupBy(*catalogs.KEY).agg(F.count("*").alias("n_fields"))
-    return registers.join(counted, catalogs.KEY, "left").select("doc_id", "peripheral", "register_name", "address", "access", "section_path", "page_start", "n_fields")
+    registers, fields = catalogs.build_registers(tables, blocks, _documents(tables))
+    counted = fields.groupBy(*catalogs.KEY).agg(F.count("*").alias("n_fields"), F.max("symbol").alias("symbol"))
+    return registers.join(counted, catalogs.KEY, "left").select("doc_id", "peripheral", "register_name", "address", "access", "section_path", "page_start", "n_fields", "symbol")
 
 
-@query()
-def split_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents in pieces of at most 500 characters."""
-    return split_rows(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-
-
-@query()
+@query("""SELECT p_partkey, 'Table 2.' || p_size || ' sizes' AS table_title, p_type || ' - low|' || p_type || ' - high' AS header, 2::BIGINT AS n_rows,
+  '0x10|' || CASE p_partkey % 3 WHEN 0 THEN '1: ' || p_name || '; 2: on again' WHEN 1 THEN p_name || ' goes on' ELSE p_name END AS first_row, '0x10|' || p_brand AS second_row FROM part""")
 def header_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids with two header levels, merged cells and data rows."""
-    part = load(spark, sf_dir, "part")
+    """Grids with a title, two header levels filled to the right, cells filled from above, option lists and wrapped lines."""
+    part, k = load(spark, sf_dir, "part"), F.col("p_partkey")
     none = F.lit(None).cast("string")
-    grid = F.array(F.array(F.concat(F.lit("Table 2."), text_of("p_size"), F.lit(" sizes")), none), F.array(F.col("p_type"), none), F.array(F.lit("low"), F.lit("high")), F.array(F.lit("0x10"), F.col("p_name")), F.array(none, F.col("p_brand")))
+    told = F.when(k % 3 == 0, F.concat(F.lit("1: "), F.col("p_name"), F.lit("\n\n2: on\n again "))).when(k % 3 == 1, F.concat(F.col("p_name"), F.lit("\ngoes on"))).otherwise(F.concat(F.lit("\n "), F.col("p_name")))
+    grid = F.array(F.array(F.concat(F.lit("Table 2."), text_of("p_size"), F.lit(" sizes")), none), F.array(F.col("p_type"), none), F.array(F.lit("low"), F.lit("high")), F.array(F.lit("0x10"), told), F.array(none, F.col("p_brand")))
     read = C.normalise_grids(part.select("p_partkey", grid.alias("cells")))
-    return read.select("p_partkey", "table_title", F.array_join("header", "|").alias("header"), F.size("rows").alias("n_rows"), F.to_json("rows").alias("rows"))
+    cells = lambda at: F.array_join(F.transform("header", lambda h: F.element_at(F.element_at("rows", at), h)), "|")
+    return read.select("p_partkey", "table_title", F.array_join("header", "|").alias("header"), F.size("rows").cast("long").alias("n_rows"), cells(1).alias("first_row"), cells(2).alias("second_row"))
 
 
-@query()
-def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of the benchmark's passages."""
-    made = embed(load(spark, sf_dir, "benchmark").select("item_id", "text"), "text", HashingEmbedder(64))
-    return made.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"), F.size("embedding").alias("width"))
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'stored ' || p_partkey ELSE '【' || p_brand || ' Rev.2 | ' || p_type || ' | p.' || p_size || ' | Figure 1.' || p_size || '】' END AS citation, '[' || p_type || '] ' || p_name AS prose FROM part""")
+def figure_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored citation of a figure, else one that names it; and a section's prose."""
+    stored = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("stored "), text_of("p_partkey"))).otherwise("")
+    cited = T.figure_citation(stored, F.col("p_brand"), F.lit("2"), F.col("p_type"), F.col("p_size"), F.concat(F.lit("Figure 1."), text_of("p_size")))
+    return load(spark, sf_dir, "part").select("p_partkey", cited.alias("citation"), T.prose_text(F.col("p_type"), F.col("p_name")).alias("prose"))

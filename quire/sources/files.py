@@ -33,9 +33,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     # Ranks by file and block first, so that no single task sorts all lines.
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "start")
-    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("seen")) - 1
-    numbered = lines.withColumn("nth", nth).join(starts, ["file", "block"]).withColumn("line_no", (F.col("start") + F.col("nth")).cast("long"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "start", "first")
+    # A block is read by one task in order, so that its lines are numbered without gaps: only the small table is dealt out.
+    numbered = lines.join(starts, ["file", "block"]).withColumn("line_no", (F.col("start") + F.col("seen") - F.col("first")).cast("long"))
     return numbered.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "line_no").select("r.*", "line_no")
 
 
