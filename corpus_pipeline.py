@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
 run() writes what each keeps to the shared folder before the next one reads it. SQL cannot express the stages, so there
 is no ORACLE_SQL; tests hold each against a plain version.
+
+Defined results of all stages: an empty table gives an empty one; texts of any length are read whole; further columns of
+the input go no further. Null and empty texts are in no language and end at the first stage; where later stages get them
+alone, line dedup keeps them, near-dedup takes them as one text, mixing keeps them, packing gives their end id. Null and
+repeated doc_ids are rows like others, null ones the last in every order; equal rows fall to near-dedup.
 """
 
 from __future__ import annotations
