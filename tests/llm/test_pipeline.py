@@ -69,3 +69,15 @@ def test_near_dedup_takes_five_words_and_four_fifths(spark):
     assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 4
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == {1, 3}
+
+
+def test_run_on_nothing_and_on_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens long, root string"
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+    rng = random.Random(16)
+    long = "\n".join(said(rng, "en", 40) for _ in range(400))
+    rows = [(i, t, lang, source, n, 1, "x") for i, t, lang, source, n in corpus()] + [(None, said(rng, "en", 50), None, None, None, None, None), (None, None, None, None, None, 1, "x"), (7, "", "en", "s", 0, 1, "x"), (300, long, "en", "s1", len(long), 1, "x"), (300, long, "en", "s1", len(long), 1, "x")]
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}/odd")
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
