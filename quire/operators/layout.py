@@ -16,12 +16,22 @@ HEADER_Y, SMALLEST, GAP, SHARE = 75.0, 30.0, 8.0, 0.45
 
 
 def toc_labels(toc: DataFrame) -> DataFrame:
-    """(doc_id, ord, page, label): each contents entry with the path of titles that it stands under."""
-    so_far = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    entries = F.collect_list(F.struct(F.col("level").alias("level"), T.strip(F.col("title")).alias("title"))).over(so_far)
-    path = F.aggregate("entries", F.array().cast("array<struct<level:int,title:string>>"), lambda up, e: F.concat(F.filter(up, lambda u: u["level"] < e["level"]), F.array(F.struct(e["level"].cast("int").alias("level"), e["title"].alias("title")))))
+    """(doc_id, ord, page, label): each contents entry with the path of titles that it stands under.
+
+    For its own level and each shallower one of its document an entry finds the last entry there; those that no
+    shallower entry followed are its path. A row holds one entry for each level, never a contents list. ord tells the
+    entries of a document apart; an entry without a level stands at the top.
+    """
+    level = F.coalesce(F.col("level").cast("int"), F.lit(1))
+    levels = F.collect_set(level).over(Window.partitionBy("doc_id"))
+    asked = toc.select("doc_id", "ord", "page", level.alias("level"), T.strip(F.col("title")).alias("title"), levels.alias("levels"))
+    asked = asked.withColumn("at", F.explode(F.filter("levels", lambda x: x <= F.col("level"))))
+    so_far = Window.partitionBy("doc_id", "at").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("at") == F.col("level"), F.struct("at", "ord", "title")), ignorenulls=True).over(so_far)
+    found = asked.select("doc_id", "ord", "page", last.alias("last")).groupBy("doc_id", "ord", "page").agg(F.sort_array(F.collect_list("last")).alias("up"))
+    path = F.filter("up", lambda x: ~F.exists("up", lambda y: (y["at"] < x["at"]) & (y["ord"] > x["ord"])))
     label = F.array_join(F.transform(path, lambda e: F.concat(F.lit("§"), e["title"])), " > ")
-    return toc.withColumn("entries", entries).select("doc_id", "ord", "page", label.alias("label"))
+    return found.select("doc_id", "ord", "page", label.alias("label"))
 
 
 def latest_before(points: DataFrame, marks: DataFrame, keys: list[str], at: str, order: list[str], value: str) -> DataFrame:

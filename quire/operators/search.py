@@ -16,6 +16,8 @@ from .embed import Embedder
 
 DEFAULT_K, MOST_K, LEAST_SIMILARITY = 6, 10, 0.30
 FARTHEST = 2 * (1 - LEAST_SIMILARITY)
+#: Parts that the rows of one chip are split into where many queries are answered at once.
+SPLITS = 16
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -36,8 +38,14 @@ def guarded(found: DataFrame, farthest: float = FARTHEST) -> DataFrame:
 
 def nearest_each(queries: DataFrame, rows: DataFrame, by: str, k: int, farthest: float = FARTHEST) -> DataFrame:
     """For each query (query_id, `by`, vector) its k nearest rows (id, `by`, embedding) of equal `by`, itself left out,
-    with rank and whether the guard lets the answer pass."""
-    pairs = queries.join(rows, by).where("query_id <> id").select("query_id", "id", squared_distance(F.col("vector"), F.col("embedding")).alias("distance"))
+    with rank and whether the guard lets the answer pass.
+
+    Rows are split by id within `by` and every query meets each part, so that a hot value is no single task; only the k
+    nearest of a query in a task are dealt out again.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(SPLITS))
+    split = queries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))).join(rows.withColumn("__part", part.cast("int")), [by, "__part"])
+    pairs = split.where("query_id <> id").select("query_id", "id", squared_distance(F.col("vector"), F.col("embedding")).alias("distance"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return ranked.withColumn("accepted", F.min("distance").over(Window.partitionBy("query_id")) <= farthest)
 
