@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import text as T
+from ..functions.text import query_prefix
 from .catalogs import KEY
-from .embed import Embedder
+from .embed import Embedder, embed
 
 DEFAULT_K, MOST_K, LEAST_SIMILARITY = 6, 10, 0.30
 FARTHEST = 2 * (1 - LEAST_SIMILARITY)
 #: Parts that the rows of one chip are split into where many queries are answered at once.
 SPLITS = 16
+#: What an answer tells of its chunk.
+FACTS = ("element_type", "section_path", "render_text", "peripheral", "register_name", "figure_id", "image_path", "table_id", "citation")
+CHUNK = (*FACTS, "page_start", "figure_refs", "table_refs")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -36,8 +40,8 @@ def guarded(found: DataFrame, farthest: float = FARTHEST) -> DataFrame:
     return found.withColumn("best", best).where(F.col("best") <= farthest).drop("best")
 
 
-def nearest_each(queries: DataFrame, rows: DataFrame, by: str, k: int, farthest: float = FARTHEST) -> DataFrame:
-    """For each query (query_id, `by`, vector) its k nearest rows (id, `by`, embedding) of equal `by`, itself left out,
+def nearest_each(queries: DataFrame, rows: DataFrame, by: str, k: int, farthest: float = FARTHEST, own: str = "query_id") -> DataFrame:
+    """For each query (query_id, `by`, vector) its k nearest rows (id, `by`, embedding) of equal `by`, the one of the id in `own` left out,
     with rank and whether the guard lets the answer pass.
 
     Rows are split by id within `by` and every query meets each part, so that a hot value is no single task; only the k
@@ -45,7 +49,7 @@ def nearest_each(queries: DataFrame, rows: DataFrame, by: str, k: int, farthest:
     """
     part = F.pmod(F.xxhash64("id"), F.lit(SPLITS))
     split = queries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))).join(rows.withColumn("__part", part.cast("int")), [by, "__part"])
-    pairs = split.where("query_id <> id").select("query_id", "id", squared_distance(F.col("vector"), F.col("embedding")).alias("distance"))
+    pairs = split.where(F.coalesce(F.col(own) != F.col("id"), F.lit(True))).select("query_id", "id", squared_distance(F.col("vector"), F.col("embedding")).alias("distance"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return ranked.withColumn("accepted", F.min("distance").over(Window.partitionBy("query_id")) <= farthest)
 
@@ -103,9 +107,30 @@ class Manuals:
         rows = guarded(nearest(self.index.where(F.col("chip_part") == chip_part), self.embedder.query(query).tolist(), top_k, "render_text")).orderBy("distance", "render_text").collect()
         if not rows:
             return refusal
-        kept = ("element_type", "section_path", "render_text", "peripheral", "register_name", "figure_id", "image_path", "table_id", "citation")
         split = lambda s: s.split(",") if s else []
-        return [{c: r[c] for c in kept} | {"page": r["page_start"], "score": round(r["distance"], 4), "figure_refs": split(r["figure_refs"]), "table_refs": split(r["table_refs"])} for r in rows]
+        return [{c: r[c] for c in FACTS} | {"page": r["page_start"], "score": round(r["distance"], 4), "figure_refs": split(r["figure_refs"]), "table_refs": split(r["table_refs"])} for r in rows]
+
+    def search_each(self, questions: DataFrame, top_k: int = DEFAULT_K) -> DataFrame:
+        """search for many questions (query_id, query, chip_part) at once, as rows: (query_id, rank, score, refusal, the
+        chunk's columns). A question without an answer is one row with a refusal and no chunk.
+
+        query_id tells questions apart; a null query is an empty one. Among equally near chunks the smaller text comes
+        first; chunks equal in text and citation are one.
+        """
+        asked = questions.select("query_id", "chip_part", F.concat(F.lit(query_prefix(self.embedder.model)), F.coalesce("query", F.lit(""))).alias("query"))
+        asked = embed(asked, "query", self.embedder, "vector").select("query_id", "chip_part", "vector")
+        key = F.struct("render_text", "citation")
+        index = self.index.withColumn("id", key).dropDuplicates(["chip_part", "id"])
+        near = nearest_each(asked.withColumn("own", F.lit(None).cast(index.schema["id"].dataType)), index.select("id", "chip_part", "embedding"), "chip_part", min(top_k, MOST_K), own="own")
+        passed = near.where("accepted").join(asked.select("query_id", "chip_part"), "query_id").join(index.select("id", "chip_part", *CHUNK), ["chip_part", "id"])
+        entry = F.struct("line_no", "revision")
+        latest = self.registry.groupBy("chip_part").agg(F.max(entry).alias("last"))
+        first = self.registry.agg(F.min(entry).alias("first"))
+        revision = F.coalesce("last.revision", "first.revision", F.lit(""))
+        refusal = F.when(F.col("rank").isNull(), F.concat(F.lit("No relevant content found in "), "chip_part", F.lit(" UM Rev."), revision, F.lit(".")))
+        found = passed.select("query_id", "rank", F.round("distance", 4).alias("score"), *CHUNK)
+        told = questions.select("query_id", "chip_part").join(latest, "chip_part", "left").join(F.broadcast(first))
+        return told.join(found, "query_id", "left").select("query_id", "rank", "score", refusal.alias("refusal"), *CHUNK)
 
     def register_lookup(self, name: str, chip_part: str) -> list[dict]:
         doc = self._document(chip_part)

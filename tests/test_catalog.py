@@ -114,6 +114,20 @@ def test_search(spark):
     assert m.search_um("zzzz", "chipC") == {"refusal": "No relevant content found in chipC UM Rev.1.0."}
 
 
+def test_search_of_many_questions_is_that_of_each(spark):
+    m = manuals(spark)
+    asked = [(1, "first, access R/W1C second, see Figure 1.1 and Table 2.1 later", "chipA"), (2, "zzzz qqqq", "chipC"), (3, "bits 16 RST", "chipA"), (4, None, "chipA"), (5, "List A", "chipB")]
+    rows = m.search_each(spark.createDataFrame(asked, "query_id long, query string, chip_part string"), 5).collect()
+    for query_id, query, chip in asked:
+        mine = sorted((r for r in rows if r["query_id"] == query_id), key=lambda r: r["rank"] or 0)
+        one = m.search(query or "", chip, 5)
+        if isinstance(one, str):
+            assert [(r["refusal"], r["render_text"]) for r in mine] == [(one, None)]
+        else:
+            assert [(r["render_text"], r["score"], r["page_start"], r["refusal"]) for r in mine] == [(a["render_text"], a["score"], a["page"], None) for a in one]
+    assert m.search_each(spark.createDataFrame([], "query_id long, query string, chip_part string")).count() == 0
+
+
 def test_guard_tests_the_nearest_alone(spark):
     rows = spark.createDataFrame([(1, 1.4), (2, 1.9)], "id int, distance double")
     assert search.guarded(rows).count() == 2
