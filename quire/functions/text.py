@@ -170,3 +170,32 @@ def document_line(doc_id: Column, chip_part: Column, folder: Column, badge: Colu
 def query_prefix(model: str) -> str:
     """What a model wants before a query; documents get none."""
     return BGE_PREFIX if "bge" in model.lower() else ""
+
+
+# Characters that JSON writes as two.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_text(s: Column) -> Column:
+    """A JSON string in ASCII: what is not printable ASCII as lower-case code units, two where a character needs two."""
+
+    def unit(x: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+
+    def char(c: Column) -> Column:
+        code, short = F.ascii(c), F.element_at(F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair]), c)
+        high, low = F.lit(0xD7C0) + F.shiftright(code, 10), F.lit(0xDC00) + code.bitwiseAND(F.lit(0x3FF))
+        return F.when(short.isNotNull(), short).when(code.between(32, 126), c).when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))
+
+    plain = ~s.rlike(r'[^ !#-\[\]-~]')
+    return F.when(plain, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(F.split(s, ""), char), ""), F.lit('"')))
+
+
+def json_object(**members: Column) -> Column:
+    """A JSON object of members that are JSON already, with a blank after colons and commas."""
+    said = [x for name, value in members.items() for x in (F.lit(f'"{name}": '), value, F.lit(", "))]
+    return F.concat(F.lit("{"), *said[:-1], F.lit("}"))
+
+
+def json_array(members: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(members, ", "), F.lit("]"))

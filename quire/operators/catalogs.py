@@ -52,7 +52,9 @@ def build_registers(tables: DataFrame, blocks: DataFrame, registry: DataFrame) -
     }
     full = summed.withColumns(facts).withColumn("fields", C.bit_fields(F.col("rows")))
     won = latest(full, KEY, F.desc("line_no"))
-    document = F.to_json(F.struct("register_name", "address", "reset_value", "access", F.col("fields").alias("bit_fields")))
+    said = lambda x, *names: {n: T.json_text(x(n)) for n in names}
+    each = F.transform("fields", lambda f: T.json_object(**said(f.getField, "bits", "symbol", "access", "reset", "description")))
+    document = T.json_object(**said(F.col, "register_name", "address", "reset_value", "access"), bit_fields=T.json_array(each))
     registers = won.select("peripheral", "register_name", "address", F.lit(32).alias("size_bits"), "reset_value", "access", "doc_id", "revision", "section_path", F.col("page").alias("page_start"), F.col("page").alias("page_end"), document.alias("json"), "line_no")
     fields = won.select(*KEY, F.posexplode("fields").alias("field_ord", "f")).select(*KEY, "f.bits", "f.symbol", "f.access", "f.reset", "f.description", "field_ord")
     return registers, fields

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -59,6 +59,35 @@ class HashingEmbedder:
         return self.documents([query_prefix(self.model) + text])[0]
 
 
+#: Models by name that this process has loaded.
+_LOADED: dict[str, tuple] = {}
+
+
+class ModelEmbedder:
+    """Mean-pooled token vectors of a model that every process loads once, when it first meets a text.
+
+    load() gives (tokenize, forward): tokenize takes texts and the most tokens of one and gives (ids, mask), forward takes
+    these and gives token vectors, both as (texts, length[, width]) arrays. Only load and the name travel to workers;
+    texts that share a name share a model.
+    """
+
+    def __init__(self, model: str, load: Callable[[], tuple], together: int = 64):
+        self.model, self.load, self.together = model, load, together
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        if self.model not in _LOADED:
+            _LOADED[self.model] = self.load()
+        tokenize, forward = _LOADED[self.model]
+        out = []
+        for i in range(0, len(texts), self.together):
+            ids, mask = tokenize([t or "" for t in texts[i : i + self.together]], LONGEST)
+            out.append(mean_pooled(forward(ids, mask), mask))
+        return np.concatenate(out).astype(np.float32) if out else np.zeros((0, 0), np.float32)
+
+    def query(self, text: str) -> np.ndarray:
+        return self.documents([query_prefix(self.model) + text])[0]
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding") -> DataFrame:
     """df with a unit vector of the text; a batch of rows is embedded at once."""
     kept = [c for c in df.columns if c != name]

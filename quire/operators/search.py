@@ -96,13 +96,18 @@ class Manuals:
         order = F.desc("line_no") if last else F.asc("line_no")
         return self.registry.where(F.col("chip_part") == chip_part).orderBy(order).first()
 
+    def _otherwise(self):
+        """For chips that the registry lacks: the entry of the chip that comes first in it."""
+        first = self.registry.orderBy("line_no").first()
+        return first and self._document(first["chip_part"])
+
     @staticmethod
     def _citation(doc, section: str, page: int) -> str:
         return f"【{doc['doc_id']} Rev.{doc['revision']} | {section} | p.{page}】"
 
     def search(self, query: str, chip_part: str, top_k: int = DEFAULT_K) -> list[dict] | str:
         """The nearest chunks of a chip, or a sentence that refuses where there are none or all are too far."""
-        doc = self._document(chip_part) or self.registry.orderBy("line_no").first()
+        doc = self._document(chip_part) or self._otherwise()
         refusal = f"No relevant content found in {chip_part} UM Rev.{doc['revision'] if doc else ''}."
         rows = guarded(nearest(self.index.where(F.col("chip_part") == chip_part), self.embedder.query(query).tolist(), top_k, "render_text")).orderBy("distance", "render_text").collect()
         if not rows:
@@ -123,13 +128,12 @@ class Manuals:
         index = self.index.withColumn("id", key).dropDuplicates(["chip_part", "id"])
         near = nearest_each(asked.withColumn("own", F.lit(None).cast(index.schema["id"].dataType)), index.select("id", "chip_part", "embedding"), "chip_part", min(top_k, MOST_K), own="own")
         passed = near.where("accepted").join(asked.select("query_id", "chip_part"), "query_id").join(index.select("id", "chip_part", *CHUNK), ["chip_part", "id"])
-        entry = F.struct("line_no", "revision")
-        latest = self.registry.groupBy("chip_part").agg(F.max(entry).alias("last"))
-        first = self.registry.agg(F.min(entry).alias("first"))
-        revision = F.coalesce("last.revision", "first.revision", F.lit(""))
+        latest = self.registry.groupBy("chip_part").agg(F.max_by("revision", "line_no").alias("latest"), F.min("line_no").alias("from"))
+        first = latest.agg(F.min_by("latest", "from").alias("first"))
+        revision = F.coalesce("latest", "first", F.lit(""))
         refusal = F.when(F.col("rank").isNull(), F.concat(F.lit("No relevant content found in "), "chip_part", F.lit(" UM Rev."), revision, F.lit(".")))
         found = passed.select("query_id", "rank", F.round("distance", 4).alias("score"), *CHUNK)
-        told = questions.select("query_id", "chip_part").join(latest, "chip_part", "left").join(F.broadcast(first))
+        told = questions.select("query_id", "chip_part").join(latest.drop("from"), "chip_part", "left").join(F.broadcast(first))
         return told.join(found, "query_id", "left").select("query_id", "rank", "score", refusal.alias("refusal"), *CHUNK)
 
     def register_lookup(self, name: str, chip_part: str) -> list[dict]:

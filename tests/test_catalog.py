@@ -1,14 +1,16 @@
 """Catalogs, chunks, search and administration over small documents of our own."""
 
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions.splitter import split_text
 from quire.operators import catalogs, chunks, layout, search
-from quire.operators.embed import HashingEmbedder, build_index, mean_pooled
+from quire.operators.embed import HashingEmbedder, ModelEmbedder, build_index, embed, mean_pooled
 from quire.plans.admin import Admin, Settings
 from quire.plans.ingest import Ingest, Inputs
 from quire.sources.files import Store, by_chip, read_jsonl, read_registry
@@ -57,6 +59,7 @@ def test_registers(spark):
     assert (one["address"], one["reset_value"], one["access"], one["size_bits"]) == ("0x4000_0000", "0x1F", "R", 32)
     assert (rows["D2", "SCR"]["address"], rows["D2", "REG_6"]["reset_value"], rows["D2", "REG_6"]["peripheral"]) == ("", "0x7", "UNKNOWN")
     assert [f["symbol"] for f in json.loads(one["json"])["bit_fields"]] == ["DATA", "RST"]
+    assert one["json"] == json.dumps(json.loads(one["json"])) and list(json.loads(one["json"])) == ["register_name", "address", "reset_value", "access", "bit_fields"]
     assert {r["symbol"] for r in fields.where("doc_id = 'D1'").collect()} == {"DATA", "RST"}
 
 
@@ -114,6 +117,37 @@ def test_search(spark):
     assert m.search_um("zzzz", "chipC") == {"refusal": "No relevant content found in chipC UM Rev.1.0."}
 
 
+def test_chips_without_entry_take_the_last_of_the_first_chip(spark):
+    entries = [("D1", "1.0", "a", "x"), ("D2", "5.0", "b", "x"), ("D3", "2.0", "a", "x")]
+    m = manuals(spark)
+    m.registry = spark.createDataFrame([(*e, i) for i, e in enumerate(entries)], f"{schemas.REGISTRY}, line_no long")
+    assert m.search("q", "none") == "No relevant content found in none UM Rev.2.0."
+    assert m.search_each(spark.createDataFrame([(1, "q", "none")], "query_id long, query string, chip_part string")).first()["refusal"] == "No relevant content found in none UM Rev.2.0."
+
+
+def test_a_process_loads_a_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        with open(f"{folder}/{os.getpid()}", "x"):  # an error for the second time in one process
+            pass
+
+        def tokenize(texts, longest):
+            ids = np.array([[ord(c) for c in t[:4].ljust(4)] for t in texts])
+            return ids, (ids != 32).astype(np.int64)
+
+        return tokenize, lambda ids, mask: np.stack([ids, np.ones_like(ids)], axis=2).astype(np.float64)
+
+    model = ModelEmbedder(folder, load, together=2)
+    texts = ["ab", "abc", None, "d", "ab", "e"]
+    for _ in range(2):
+        rows = embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2), "t", model).collect()
+        for r in rows:
+            codes = [ord(c) for c in r["t"] or ""]
+            mean = np.array([np.mean(codes), 1.0]) if codes else np.zeros(2)
+            assert np.allclose(r["embedding"], mean / max(np.linalg.norm(mean), 1e-12), atol=1e-6)
+
+
 def test_search_of_many_questions_is_that_of_each(spark):
     m = manuals(spark)
     asked = [(1, "first, access R/W1C second, see Figure 1.1 and Table 2.1 later", "chipA"), (2, "zzzz qqqq", "chipC"), (3, "bits 16 RST", "chipA"), (4, None, "chipA"), (5, "List A", "chipB")]

@@ -1,5 +1,7 @@
 """Text functions against values worked out by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,11 @@ def test_grid_of_a_register():
     assert header == ["Bit", "Function"]
     assert rows == [{"Bit": "0", "Function": "start\nnow", "Description": "start\nnow"}]
     assert C.Grid([]).records() == ([], [])
+
+
+@pytest.mark.parametrize("said", ["", "plain", 'a "b" \\ /', "\n\r\t\b\f\x01\x7f", "naïve § 漢", "a\U0001d11eb\U0010ffff"])
+def test_json_is_as_json_dumps_writes_it(spark, said):
+    assert value(spark, T.json_text(F.lit(said))) == json.dumps(said)
+    made = T.json_object(a=T.json_text(F.lit(said)), b=T.json_array(F.array(T.json_text(F.lit(said)), T.json_text(F.lit("x")))))
+    assert value(spark, made) == json.dumps({"a": said, "b": [said, "x"]})
+    assert value(spark, T.json_array(F.array().cast("array<string>"))) == json.dumps([])
