@@ -90,17 +90,26 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         df.hint("rebalance", "doc_id").write.mode("append").partitionBy("doc_id").parquet(self.path(name))
 
+    def _document_files(self, name: str, doc_id: str):
+        part = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(doc_id)
+        return self._files(f"{self.path(name)}/doc_id={part}")
+
+    def _file_names(self, name: str, doc_id: str) -> set[str]:
+        fs, where = self._document_files(name, doc_id)
+        return {f.getPath().getName() for f in fs.listStatus(where)} if fs.exists(where) else set()
+
     def replace_documents(self, name: str, df: DataFrame, doc_ids: list[str]) -> None:
         """The rows of these documents and no others are exchanged; documents that df lacks lose theirs."""
+        before = {d: self._file_names(name, d) for d in set(doc_ids)}
         written = df.where(F.col("doc_id").isin(doc_ids)).hint("rebalance", "doc_id")
         written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(self.path(name))
-        have = {r[0] for r in df.where(F.col("doc_id").isin(doc_ids)).select("doc_id").distinct().collect()}
-        for doc_id in set(doc_ids) - have:
-            self.delete_document(name, doc_id)
+        # Every write names its files anew: a document that still has one of its old files got no rows.
+        for doc_id, names in before.items():
+            if names & self._file_names(name, doc_id):
+                self.delete_document(name, doc_id)
 
     def delete_document(self, name: str, doc_id: str) -> None:
-        part = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(doc_id)
-        fs, where = self._files(f"{self.path(name)}/doc_id={part}")
+        fs, where = self._document_files(name, doc_id)
         fs.delete(where, True)
 
     def wipe(self, names: tuple[str, ...] = TABLES) -> None:
