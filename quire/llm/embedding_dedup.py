@@ -4,11 +4,12 @@ Vectors are scaled to length one and rotated by a fixed random rotation; cosine
 2 - 2t. Of blocks of the rotated coordinates with budgets in proportion to their widths, one must keep its budget. Each
 block is range-joined on its own: pivots cut its space into cells, a vector lives in the cell of its nearest pivot and
 visits every other cell that its ball may reach (its distance to the hyperplane between the two pivots is at most the
-radius). What one block finds is verified by the cosine of the original vectors in double precision, and counted in the
-first block whose budget the pair keeps, so a link found in several blocks counts once.
+radius). GROUP neighbouring cells travel together, so that a vector goes to each group once, and are told apart again
+where they are compared. What one block finds is verified by the cosine of the original vectors in double precision, and
+counted in the first block whose budget the pair keeps, so a link found in several blocks counts once.
 
 Byte-equal vectors are one class with a count. Pairs are never emitted: a task gives the number of links of each class
-and a star of edges of what it found connected. Cells of more than BLOCK classes are cut into chunks, each visited alike.
+and a star of edges of what it found connected. Groups of more than BLOCK classes are cut into chunks, each visited alike.
 
 Classes are told by hashes of 64 bits of their vectors, whatever ids their rows have.
 
@@ -33,7 +34,22 @@ from .vectors import batches_of, by_key, centres, nearest, sample, scaled, usabl
 
 #: Blocks, the fewest and the most cells of each (between them the root of the rows over 200), classes of a chunk of a
 #: cell, visitors compared with a chunk at once, pivots' sample.
-PARTS, CELLS, BLOCK, AT_ONCE, SAMPLE = 4, (16, 256), 8192, 512, 8192
+#: Blocks; the least and most cells of one; cells of a group; classes of a chunk; rows compared at once; rows that pivots are fitted on.
+PARTS, CELLS, GROUP, BLOCK, AT_ONCE, SAMPLE = 4, (32, 256), 8, 8192, 1024, 8192
+
+
+def neighbours_together(p: np.ndarray) -> np.ndarray:
+    """The rows of p in an order in which every GROUP in a row lie near one another: halves along the widest axis."""
+    order, todo = [], [np.arange(len(p))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= GROUP:
+            order.append(own)
+            continue
+        own = own[p[own, p[own].var(axis=0).argmax()].argsort(kind="stable")]
+        half = GROUP * -(-len(own) // (2 * GROUP))
+        todo += [own[half:], own[:half]]
+    return p[np.concatenate(order)]
 
 
 class Subspaces:
@@ -47,22 +63,27 @@ class Subspaces:
         self.blocks = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         self.budgets = [(2 - 2 * threshold) * (b - a) / self.width * (1 + 1e-9) + 1e-12 for a, b in self.blocks]
         y = self.rotated(x)
-        self.pivots = [centres(y[:, a:b], cells) for a, b in self.blocks]
+        self.pivots = [neighbours_together(centres(y[:, a:b], cells)) for a, b in self.blocks]
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ self.rotation  # x: scaled
 
-    def cells(self, y: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, mask of the cells to visit): of a pair of cells, members of the lower visit the higher."""
+    def homes(self, y: np.ndarray, j: int) -> np.ndarray:
+        """The cell of each rotated row."""
+        a, b = self.blocks[j]
+        return nearest(y[:, a:b], self.pivots[j])
+
+    def reach(self, y: np.ndarray, j: int, home: np.ndarray) -> np.ndarray:
+        """Mask of the cells to visit, the own one included: of a pair of cells, members of the lower visit the higher."""
         a, b = self.blocks[j]
         p, part = self.pivots[j], y[:, a:b]
         d = np.maximum(0, (part * part).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * part @ p.T)
-        home = nearest(part, p)
+        own = np.arange(len(y))
         apart = np.sqrt(np.maximum(0, (p * p).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * p @ p.T))[home]
-        reach = d - d[np.arange(len(y)), home][:, None] <= 2 * apart * (self.budgets[j] ** 0.5 + 1e-6) + 1e-9
+        reach = d - d[own, home][:, None] <= 2 * apart * (self.budgets[j] ** 0.5 + 1e-6) + 1e-9
         reach &= np.arange(len(p)) >= home[:, None]
-        reach[np.arange(len(y)), home] = True
-        return home, reach
+        reach[own, home] = True
+        return reach
 
     def first_block(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The first block whose budget each pair of rotated rows keeps."""
@@ -70,32 +91,38 @@ class Subspaces:
         return kept.argmax(axis=0)
 
 
-def linked(at: Subspaces, j: int, home: tuple, visitors: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (visitor, home) of the links within one cell. Each side: (vectors, rotated, ids, cells)."""
+def linked(at: Subspaces, j: int, group: int, home: tuple, visitors: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (visitor, home) of the links within one group of cells. Each side: (vectors, rotated, ids, cells)."""
     (hx, hy, hid, hc), (vx, vy, vid, vc) = home, visitors
     a, b = at.blocks[j]
-    left, right = [], []
-    hb, hn = np.ascontiguousarray(hy[:, a:b].T), (hy[:, a:b] ** 2).sum(axis=1)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hn, vn = (hx * hx).sum(axis=1), (vx * vx).sum(axis=1)
+    members = []
+    for c in range(group * GROUP, min((group + 1) * GROUP, len(at.pivots[j]))):
+        if len(own := np.flatnonzero(hc == c)):
+            part = hy[own, a:b]
+            members.append((c, own, np.concatenate([part, (part * part).sum(axis=1)[:, None], np.ones((len(own), 1))], axis=1).astype(np.float32).T.copy()))
+    # Squared distances by one product, in single precision: of parts of unit vectors, so they err by less than 1e-5.
+    most = np.float32(at.budgets[j] + 1e-5)
     for i in range(0, len(vx), AT_ONCE):
         part = vy[i : i + AT_ONCE, a:b]
-        d = part @ hb
-        d *= -2
-        d += hn
-        d += (part * part).sum(axis=1)[:, None]
-        u, v = np.nonzero(d <= at.budgets[j] + 1e-7)
-        u += i
-        keep = (vc[u] != hc[v]) | (vid[u] < hid[v])
-        u, v = u[keep], v[keep]
-        for k in range(0, len(u), 1 << 16):
-            uu, vv = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
-            p, q = vx[uu], hx[vv]
-            cosine = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-            near = cosine >= at.threshold
-            near[near] = at.first_block(vy[uu[near]], hy[vv[near]]) == j
-            left.append(uu[near])
-            right.append(vv[near])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        reach = at.reach(vy[i : i + AT_ONCE], j, vc[i : i + AT_ONCE])
+        sides = np.concatenate([-2 * part, np.ones((len(part), 1)), (part * part).sum(axis=1)[:, None]], axis=1).astype(np.float32)
+        for c, own, wide in members:
+            who = np.flatnonzero(reach[:, c])
+            if not len(who):
+                continue
+            u, v = np.divmod(np.flatnonzero(sides[who] @ wide <= most), len(own))
+            u, v = who[u] + i, own[v]
+            keep = (vc[u] != c) | (vid[u] < hid[v])
+            u, v = u[keep], v[keep]
+            for k in range(0, len(u), 1 << 14):
+                uu, vv = u[k : k + (1 << 14)], v[k : k + (1 << 14)]
+                near = np.einsum("ij,ij->i", vx[uu], hx[vv]) / np.sqrt(vn[uu] * hn[vv]) >= at.threshold
+                near[near] = at.first_block(vy[uu[near]], hy[vv[near]]) == j
+                left.append(uu[near])
+                right.append(vv[near])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -129,69 +156,78 @@ def link(vectors: DataFrame, threshold: float = 0.9, parts: int = PARTS, cells:
         for b in batches:
             if b.num_rows:
                 y = at.rotated(scaled(batches_of(b.column(0), width)))
-                cells = np.concatenate([at.cells(y, j)[0] for j in range(len(at.blocks))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(at.blocks)), len(y))), pa.array(cells)], ["block", "cell"])
+                groups = np.concatenate([at.homes(y, j) // GROUP for j in range(len(at.blocks))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(at.blocks)), len(y))), pa.array(groups)], ["block", "group"])
 
-    sizes = {(r["block"], r["cell"]): r["n"] for r in classes.select("embedding").mapInArrow(homes, "block long, cell long").groupBy("block", "cell").agg(F.count("*").alias("n")).collect()}
-    chunks = np.ones((len(at.blocks), max(len(p) for p in at.pivots)), np.int64)
-    for (j, c), n in sizes.items():
-        chunks[j, c] = -(-n // BLOCK)
+    sizes = {(r["block"], r["group"]): r["n"] for r in classes.select("embedding").mapInArrow(homes, "block long, group long").groupBy("block", "group").agg(F.count("*").alias("n")).collect()}
+    chunks = np.ones((len(at.blocks), -(-max(len(p) for p in at.pivots) // GROUP)), np.int64)
+    for (j, g), n in sizes.items():
+        chunks[j, g] = -(-n // BLOCK)
 
-    schema = "block long, cell long, chunk long, side long, class long, copies long, home long, vector binary"
+    schema = "block long, group long, chunk long, side long, class long, copies long, home long, vector binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "cell", "chunk", "side", "class", "copies", "home", "vector"]
+        names = ["block", "group", "chunk", "side", "class", "copies", "home", "vector"]
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
+            for i in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(i, AT_ONCE)
                 x = scaled(batches_of(b.column(2), width))
                 ids, copies, y = b.column(0).to_numpy(), b.column(1).to_numpy(), at.rotated(x)
                 raw = np.array([r.tobytes() for r in x], object)
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 for j in range(len(at.blocks)):
-                    home, reach = at.cells(y, j)
-                    own = np.arange(len(x))
-                    who, cell = np.nonzero(reach)
-                    times = chunks[j, cell]
+                    home = at.homes(y, j)
+                    own, mine = mixed % chunks[j, home // GROUP], np.arange(len(x))
+                    reach = at.reach(y, j, home)
+                    who, group = np.nonzero(np.logical_or.reduceat(reach, np.arange(0, reach.shape[1], GROUP), axis=1))
+                    times = chunks[j, group]
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    who, cell = np.repeat(who, times), np.repeat(cell, times)
-                    take = np.concatenate([own, who])
-                    columns = [np.full(len(take), j), np.concatenate([home, cell]), np.concatenate([mixed % chunks[j, home], nth]), np.concatenate([np.zeros(len(own), np.int64), np.ones(len(who), np.int64)]), ids[take], copies[take], home[take]]
+                    who, group = np.repeat(who, times), np.repeat(group, times)
+                    # Members of a chunk meet one another there.
+                    away = (group != home[who] // GROUP) | (nth != own[who])
+                    who, group, nth = who[away], group[away], nth[away]
+                    take = np.concatenate([mine, who])
+                    columns = [np.full(len(take), j), np.concatenate([home // GROUP, group]), np.concatenate([own, nth]), np.repeat([0, 1], [len(mine), len(who)]), ids[take], copies[take], home[take]]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(raw[take].tolist(), pa.binary())], names)
 
     def sides(parts: list[pa.RecordBatch]) -> tuple:
         x = np.concatenate([np.frombuffer(b"".join(p.column(7).to_pylist()), np.float64).reshape(-1, width) for p in parts])
-        return (x, at.rotated(x), np.concatenate([p.column(4).to_numpy() for p in parts]), np.concatenate([p.column(6).to_numpy() for p in parts]), np.concatenate([p.column(5).to_numpy() for p in parts]))
+        return (x, at.rotated(x), *(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (4, 6, 5)))
+
+    def met(j: int, group: int, home: tuple, visitors: tuple) -> Iterator[pa.RecordBatch]:
+        u, v = linked(at, j, group, home[:4], visitors[:4])
+        if not len(u):
+            return
+        n, ids = len(visitors[2]), np.concatenate([visitors[2], home[2]])
+        links = np.concatenate([np.bincount(u, home[4][v], n), np.bincount(v, visitors[4][u], len(home[2]))]).astype(np.int64)
+        root = stars(u, v + n, len(ids))
+        some, far = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([ids[some], ids[far]])), pa.array(np.concatenate([links[some], np.zeros(len(far), np.int64)])), pa.array([None] * len(some) + ids[root[far]].tolist(), pa.int64())], ["class", "links", "other"]
+        )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        home = None
-        for (j, _, _, side), new, part in by_key(batches, 4):
+        key, held, home = (-1, -1, -1), [], None
+        for (*now, side), _, part in by_key(batches, 4):
+            if tuple(now) != key:
+                if held:
+                    home = sides(held)
+                    yield from met(*key[:2], home, home)
+                key, held, home = tuple(now), [], None
             if side == 0:
-                if new:
-                    held, home = [], None
                 held.append(part)
                 continue
-            if new and home is None:
-                if not held or tuple(held[0].column(i)[0].as_py() for i in range(3)) != tuple(part.column(i)[0].as_py() for i in range(3)):
-                    held = []
-                home = sides(held) if held else None
-            if not held or tuple(held[0].column(i)[0].as_py() for i in range(3)) != tuple(part.column(i)[0].as_py() for i in range(3)):
-                continue  # a chunk without members of its own
-            visitors = sides([part])
-            u, v = linked(at, j, home[:4], visitors[:4])
-            if not len(u):
-                continue
-            n, ids = len(visitors[2]), np.concatenate([visitors[2], home[2]])
-            links = np.concatenate([np.bincount(u, home[4][v], n), np.bincount(v, visitors[4][u], len(home[2]))]).astype(np.int64)
-            root = stars(u, v + n, len(ids))
-            some, far = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[some], ids[far]])), pa.array(np.concatenate([links[some], np.zeros(len(far), np.int64)])), pa.array([None] * len(some) + ids[root[far]].tolist(), pa.int64())], ["class", "links", "other"]
-            )
+            if held:
+                home, held = sides(held), []
+                yield from met(*key[:2], home, home)
+            if home is not None:  # else a chunk without members of its own
+                yield from met(*key[:2], home, sides([part]))
+        if held:
+            home = sides(held)
+            yield from met(*key[:2], home, home)
 
     dealt = classes.select("class", "copies", "embedding").mapInArrow(deal, schema)
-    found = staged(dealt.repartition("block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", "side").mapInArrow(join, "class long, links long, other long"), "vector-links")
+    found = staged(dealt.repartition("block", "group", "chunk").sortWithinPartitions("block", "group", "chunk", "side").mapInArrow(join, "class long, links long, other long"), "vector-links")
     roots = components(found.where("other is not null").select(F.col("class").alias("u"), F.col("other").alias("v")))
     counted = found.where("other is null").groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.select("h1", "h2", "class", "copies", "first_id").join(counted, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")

@@ -296,12 +296,12 @@ def vector_rows():
     return [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 16), (502, [1.0, None] + [0.0] * 14), (503, [float("nan")] + [1.0] * 15), (504, [float("inf")] + [1.0] * 15), (505, [])]
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_embedding_links(spark, parts, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)  # so that cells are cut into chunks
+@pytest.mark.parametrize("parts,cells", [(1, 5), (4, 20), (8, 40)])
+def test_embedding_links(spark, parts, cells, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)  # so that groups are cut into chunks
     rows = vector_rows()
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, home string, class int")
-    got = {r["vec_id"]: r for r in embedding_dedup.link(df, 0.9, parts, 5).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.link(df, 0.9, parts, cells).collect()}
     x = np.array([v for i, v in rows if i < 500])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = u @ u.T >= 0.9
