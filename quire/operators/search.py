@@ -63,14 +63,31 @@ def registers_named(registers: DataFrame, bit_fields: DataFrame, doc_id: str, na
     """Registers of a document by name or its beginning, each with its fields in order."""
     hits = registers.where((F.col("doc_id") == doc_id) & name_matches(F.col("register_name"), name))
     field = F.struct("field_ord", "bits", "symbol", "access", "reset", "description")
-    # Fields of the hits alone are gathered.
-    mine = bit_fields.where(F.col("doc_id") == doc_id).join(hits.select(*KEY), KEY, "left_semi")
+    return _with_fields(hits, bit_fields.where(F.col("doc_id") == doc_id)).drop("doc_id").orderBy("peripheral", "register_name")
+
+
+def registers_named_each(asked: DataFrame, registers: DataFrame, bit_fields: DataFrame) -> DataFrame:
+    """registers_named for many questions (query_id, doc_id, name) at once: the hits of each, with its query_id and doc_id.
+
+    A document's registers are split by their names and every question meets each part, so that a hot one is no single task.
+    """
+    part = F.pmod(F.xxhash64("register_name"), F.lit(SPLITS)).cast("int")
+    split = asked.select("query_id", "doc_id", "name", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("__part"))
+    beginning = F.concat(F.replace("name", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    match = (F.col("register_name") == F.col("name")) | F.ilike("register_name", beginning)
+    return _with_fields(registers.withColumn("__part", part).join(split, ["doc_id", "__part"]).where(match), bit_fields, "query_id")
+
+
+def _with_fields(hits: DataFrame, bit_fields: DataFrame, *more: str) -> DataFrame:
+    """Registers as answers, each with its fields in order; those of the hits alone are gathered."""
+    field = F.struct("field_ord", "bits", "symbol", "access", "reset", "description")
+    mine = bit_fields.join(hits.select(*KEY), KEY, "left_semi")
     fields = mine.groupBy(*KEY).agg(F.array_sort(F.collect_list(field)).alias("f"))
     joined = hits.join(fields, KEY, "left")
     return joined.select(
-        "peripheral", "register_name", "address", "size_bits", "reset_value", "access", T.or_else(F.col("section_path"), T.UNKNOWN_SECTION).alias("section_path"), F.coalesce("page_start", F.lit(0)).alias("page"),
+        *more, "doc_id", "peripheral", "register_name", "address", "size_bits", "reset_value", "access", T.or_else(F.col("section_path"), T.UNKNOWN_SECTION).alias("section_path"), F.coalesce("page_start", F.lit(0)).alias("page"),
         F.coalesce(F.transform("f", lambda x: x.dropFields("field_ord")), F.array().cast(f"array<{_FIELD}>")).alias("bit_fields"),
-    ).orderBy("peripheral", "register_name")
+    )
 
 
 _FIELD = "struct<bits:string,symbol:string,access:string,reset:string,description:string>"
@@ -170,12 +187,57 @@ class Manuals:
 
     def get_table(self, table_id: str, chip_part: str) -> dict | None:
         doc = self._document(chip_part)
-        found = doc and self.general_tables.where((F.col("doc_id") == doc["doc_id"]) & (F.col("table_id") == table_id)).first()
+        found = doc and self.general_tables.where((F.col("doc_id") == doc["doc_id"]) & (F.col("table_id") == table_id)).orderBy("page", "title").first()
         if not found:
             return None
         section, page = found["section_path"] or T.UNKNOWN_SECTION, found["page"] or 0
         return {"table_id": table_id, "title": found["title"], "markdown": found["markdown"], "section_path": section, "page": page, "citation": self._citation(doc, section, page)}
 
+    def _entries(self, last: bool = True) -> DataFrame:
+        """(chip_part, doc, rev): one registry entry for each chip, the last of several (for figures the first)."""
+        entry = (F.max_by if last else F.min_by)(F.struct("doc_id", "revision"), "line_no")
+        return self.registry.groupBy("chip_part").agg(entry.alias("e")).select("chip_part", F.col("e.doc_id").alias("doc"), F.col("e.revision").alias("rev"))
+
+    @staticmethod
+    def _first(rows: DataFrame, *order: str) -> DataFrame:
+        """The first row of each question."""
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        return rows.withColumn("__n", nth).where("__n = 1").drop("__n")
+
+    def register_lookup_each(self, questions: DataFrame) -> DataFrame:
+        """register_lookup for many questions (query_id, name, chip_part) at once; those without a hit have no row.
+
+        Here as in the other batch forms: query_id tells questions apart, nulls match nothing, further columns are not read.
+        """
+        asked = questions.select("query_id", "name", "chip_part").join(self._entries(), "chip_part").select("query_id", "name", "rev", F.col("doc").alias("doc_id"))
+        found = registers_named_each(asked, self.registers, self.bit_fields).join(asked.select("query_id", "rev"), "query_id")
+        return found.withColumn("citation", T.citation(F.col("doc_id"), F.col("rev"), F.col("section_path"), F.col("page"))).drop("doc_id", "rev")
+
+    def query_register_field_each(self, questions: DataFrame) -> DataFrame:
+        """query_register_field for many questions (query_id, register_name, bit_or_symbol, chip_part) at once."""
+        asked = questions.select("query_id", "register_name", "bit_or_symbol", "chip_part").join(self._entries(), "chip_part").select("query_id", "register_name", "bit_or_symbol", "rev", F.col("doc").alias("doc_id"))
+        section, page = T.or_else(F.col("section_path"), T.UNKNOWN_SECTION), F.coalesce("page_start", F.lit(0))
+        mine = self.registers.select(*KEY, "address", section.alias("section_path"), page.alias("page"), "line_no")
+        register = self._first(asked.join(mine, ["doc_id", "register_name"]), "line_no")
+        found = best_fields(self.bit_fields.join(register, KEY), ["query_id"], F.col("bit_or_symbol"), "field_ord")
+        cited = T.citation(F.col("doc_id"), F.col("rev"), F.col("section_path"), F.col("page"))
+        return found.select("query_id", "peripheral", "register_name", "address", "bits", "symbol", "access", "reset", "description", "section_path", "page", cited.alias("citation"))
+
+    def get_figure_each(self, questions: DataFrame) -> DataFrame:
+        """get_figure for many questions (query_id, figure_id, chip_part) at once."""
+        hits = self._first(questions.select("query_id", "figure_id", "chip_part").join(self.index.drop("embedding"), ["figure_id", "chip_part"]), "page_start", "render_text").drop("doc_id")
+        section, page = T.or_else(F.col("section_path"), T.UNKNOWN_SECTION), F.coalesce("page_start", F.lit(0))
+        known = hits.join(self._entries(last=False), "chip_part", "left").withColumn("parts", T.caption_parts(F.col("render_text")))
+        cited = T.figure_citation(F.col("citation"), F.coalesce("doc", F.lit("")), F.coalesce("rev", F.lit("")), section, page, F.col("figure_id"))
+        return known.select("query_id", "figure_id", F.col("parts.caption").alias("caption"), F.col("parts.summary").alias("vlm_summary"), "image_path", section.alias("section_path"), page.alias("page"), cited.alias("citation"))
+
+    def get_table_each(self, questions: DataFrame) -> DataFrame:
+        """get_table for many questions (query_id, table_id, chip_part) at once."""
+        asked = questions.select("query_id", "table_id", "chip_part").join(self._entries(), "chip_part").select("query_id", "table_id", "rev", F.col("doc").alias("doc_id"))
+        found = self._first(asked.join(self.general_tables.drop("chip_part"), ["doc_id", "table_id"]), "page", "title")
+        section, page = T.or_else(F.col("section_path"), T.UNKNOWN_SECTION), F.coalesce("page", F.lit(0))
+        return found.select("query_id", "table_id", "title", "markdown", section.alias("section_path"), page.alias("page"), T.citation(F.col("doc_id"), F.col("rev"), section, page).alias("citation"))
+
     def search_um(self, query: str, chip_part: str, top_k: int = DEFAULT_K) -> list[dict] | dict:
         """search for callers that want a structure: a refusal comes as one."""
         found = self.search(query, chip_part, top_k)

@@ -98,6 +98,17 @@ def record_prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("peripheral", "register_name", F.size("bit_fields").cast("long").alias("n_fields"), F.array_join(said, ",").alias("fields"))
 
 
+@query("""SELECT name, count(DISTINCT p_partkey) AS n_registers, count(l_partkey) AS n_fields FROM (SELECT DISTINCT p_brand AS name FROM part)
+  JOIN part ON p_brand || '/' || p_partkey ILIKE name || '%' LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY name""")
+def record_prefix_lookup_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookups of all brands at once, each by the beginning of its registers' names in lower case."""
+    registers, fields = _brands(spark, sf_dir)
+    made = registers.withColumns({"size_bits": F.lit(32), "reset_value": F.lit(""), "access": F.lit(""), "section_path": F.lit(""), "page_start": F.lit(1)})
+    asked = load(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.lit("m").alias("doc_id"), F.lower("p_brand").alias("name")).distinct()
+    found = search.registers_named_each(asked, made, fields)
+    return found.groupBy(F.col("query_id").alias("name")).agg(F.count("*").alias("n_registers"), F.sum(F.size("bit_fields")).cast("long").alias("n_fields"))
+
+
 def _part_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_type", "p_partkey", F.concat((F.col("p_size") + 3).cast("string"), F.lit(":"), text_of("p_size")).alias("bits"), F.col("p_brand").alias("symbol"))
 

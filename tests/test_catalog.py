@@ -162,6 +162,26 @@ def test_search_of_many_questions_is_that_of_each(spark):
     assert m.search_each(spark.createDataFrame([], "query_id long, query string, chip_part string")).count() == 0
 
 
+def test_lookups_of_many_questions_are_those_of_each(spark):
+    m = manuals(spark)
+
+    def rows(found):
+        return sorted((r.asDict(recursive=True) for r in found.collect()), key=str)
+
+    names = [(n, name, chip) for n, (name, chip) in enumerate((n, c) for n in ("sc", "SCR", "S_R", "X", "", "%", "\\", None) for c in ("chipA", "chipB", "none", None))]
+    one = [{"query_id": n} | r for n, name, chip in names if name is not None for r in m.register_lookup(name, chip)]
+    assert rows(m.register_lookup_each(spark.createDataFrame(names, "query_id long, name string, chip_part string"))) == sorted(one, key=str) and one
+    bits = [(n, *q) for n, q in enumerate((r, b, c) for r in ("SCR", "SC") for b in ("rst", "4", "16", "3", "") for c in ("chipA", "chipB", "none"))]
+    one = [{"query_id": n} | r for n, *q in bits if (r := m.query_register_field(*q))]
+    assert rows(m.query_register_field_each(spark.createDataFrame(bits, "query_id long, register_name string, bit_or_symbol string, chip_part string"))) == sorted(one, key=str) and one
+    for kind, ids in (("figure", ("Figure 1.1", "Figure 9.9", "")), ("table", ("table-2.1", "table-9.9", ""))):
+        asked = [(n, *q) for n, q in enumerate((i, c) for i in ids for c in ("chipA", "chipB", "none"))]
+        one = [{"query_id": n} | r for n, *q in asked if (r := getattr(m, f"get_{kind}")(*q))]
+        found = getattr(m, f"get_{kind}_each")(spark.createDataFrame(asked, f"query_id long, {kind}_id string, chip_part string"))
+        assert rows(found) == sorted(one, key=str) and one
+    assert m.register_lookup_each(spark.createDataFrame([], "query_id long, name string, chip_part string")).count() == 0
+
+
 def test_guard_tests_the_nearest_alone(spark):
     rows = spark.createDataFrame([(1, 1.4), (2, 1.9)], "id int, distance double")
     assert search.guarded(rows).count() == 2
