@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, sketch, staged
 
-MIN_WORDS, RARE = 25, 64
+MIN_WORDS = 25
 
 
 def unique_matches(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -118,11 +118,8 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("k2", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(k1, k2, gone): for documents with anything to delete, the blocks of line numbers; docs: (k1, k2, text).
-
-    rare: without effect, for windows need no bound on how many documents have one.
-    """
+def blocks(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, gone): for documents with anything to delete, the blocks of line numbers; docs: (k1, k2, text)."""
     hashes = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.xxhash64(F.trim(x))))
     words = F.transform(_lines(F.col("text")), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), "\\s+"))))
     lined = staged(docs.where("text is not null").select("k1", "k2", hashes.alias("hashes"), words.alias("words")).dropDuplicates(["k1", "k2"]), "lines")
@@ -156,10 +153,10 @@ def blocks(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFra
     return aligned.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: int = MIN_WORDS) -> DataFrame:
     """The columns `keep`, text without the deleted blocks, n_lines and n_deleted of every row of docs."""
     keyed = _key(docs.withColumn("text", F.col("text").cast("string")))
-    gone = staged(blocks(keyed.select("k1", "k2", "text"), least, rare), "gone")
+    gone = staged(blocks(keyed.select("k1", "k2", "text"), least), "gone")
     rows = keyed.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], "k1", "k2", F.col("text").alias("whole"))
     n_lines = F.coalesce(F.size(_lines(F.col("whole"))), F.lit(0)).cast("long")
     kept = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
