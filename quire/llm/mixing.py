@@ -8,8 +8,9 @@ the three columns, and `cells` bounds how many combinations there may be (an err
 
 Topic is a column of the input where one is named; else learned: the whole of every text is described by how its bytes
 are made up (its length in words, the length of words, shares of digits, capitals, marks, symbols and line ends), and
-k-means over a sample of at most SAMPLE documents, those with the smallest hashes of their text, makes TOPICS groups; a
-document has the topic of the nearest centre. Words are runs of bytes that are no ASCII white space.
+k-means over all texts, equal ones counting once, makes TOPICS groups in at most ROUNDS rounds; a document has the topic
+of the nearest centre. Features are summed as whole multiples of 1 / UNIT, so that no order of tasks changes a centre;
+what reaches the driver of each round is a row a group. Words are runs of bytes that are no ASCII white space.
 
 Defined results: null source, lang or topic are values like others, written as (none); null and empty texts have no
 tokens and are kept, for they change no weight; repeated rows share one decision; values without a target keep their
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, small_batches
-from .vectors import centres, nearest, smallest
+from .common import discard, mapped, small_batches, staged
+from .vectors import centres, nearest
 
 NONE, CELLS = "(none)", 200_000
 MARGINALS = ("source", "lang", "topic")
-TOPICS, SAMPLE = 6, 4096
+TOPICS, ROUNDS, UNIT = 6, 12, 1 << 20
 #: Bytes that are looked at together.
 BLOCK = 1 << 18
 #: Kinds of bytes: letters and other, white space, line ends, digits, capitals, marks, symbols.
@@ -40,6 +41,7 @@ KINDS[[9, 11, 12, 13, 32]], KINDS[10], KINDS[48:58], KINDS[65:91] = 1, 2, 3, 4
 KINDS[[ord(c) for c in "!\"'(),-.:;?"]] = 5
 KINDS[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = 6
 _SCHEMA = "tokens long, topic string"
+FEATURES = tuple(f"f{i}" for i in range(7))
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
@@ -96,18 +98,38 @@ class Topics:
         return nearest(described(found) / self.spread, self.centres)
 
 
-def learned(docs: DataFrame, topics: int = TOPICS) -> Topics:
-    """Topics of the texts with the smallest hashes; equal texts count once."""
+def learned(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
+    """Topics of all texts by k-means from the `topics` different descriptions with the smallest hashes; equal texts
+    count once."""
     some = docs.select(F.col("text").cast("string").alias("t")).where("t is not null and t <> ''").select("t", F.xxhash64("t", F.lit(7)).alias("h"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(counts([t.as_py().encode("utf-8", "replace") for t in b.column(0)])), pa.list_(pa.int64()))], ["h", "found"])
-
-    place = F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
-    # Half as many more than the sample, by their hashes; of those only the counts leave the tasks.
-    near = some.where(place <= min(1.0, 1.5 * SAMPLE / max(1, some.count())))
-    return Topics([r["found"] for r in smallest(mapped(near, each, "h long, found array<long>").groupBy("h").agg(F.first("found").alias("found")), SAMPLE)], topics)
+            if b.num_rows:
+                x = np.rint(described(counts([t.as_py().encode("utf-8", "replace") for t in b.column(0)])) * UNIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(f) for f in x.T)], ["h", *FEATURES])
+
+    texts = mapped(some, each, ", ".join(f"{c} long" for c in ("h", *FEATURES))).distinct()
+    points = staged(texts.groupBy(*FEATURES).agg(F.count("*").alias("n")), "described")
+    wide = [F.sum(F.col(f).cast("decimal(19,0)") * F.col(f).cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")) for f in FEATURES]
+    n, *sums = points.agg(F.sum("n"), *(F.sum(F.col(f) * F.col("n")) for f in FEATURES), *wide).first()
+    found = Topics([])
+    if n:
+        apart = np.array([max(0, n * int(q) - s * s) for s, q in zip(sums[:7], sums[7:])], float)
+        found.spread = np.where(apart > 0, np.sqrt(apart) / n / UNIT, 1.0)
+        first = points.select(*FEATURES).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(topics).collect()
+        now = np.array(first, float)
+        for _ in range(rounds):
+            gaps = [sum((F.pow((F.col(f) - float(at)) / float(w * UNIT), 2.0) for f, at, w in zip(FEATURES, c, found.spread)), F.lit(0.0)) for c in now]
+            own = F.array_min(F.array(*(F.struct(gap.alias("gap"), F.lit(k).alias("k")) for k, gap in enumerate(gaps))))["k"]
+            before, now = now, now.copy()
+            for k, size, *total in points.groupBy(own.alias("k")).agg(F.sum("n"), *(F.sum(F.col(f) * F.col("n")) for f in FEATURES)).collect():
+                now[k] = np.array(total, float) / size
+            if (now == before).all():
+                break
+        found.centres = now / UNIT / found.spread
+    discard(points)
+    return found
 
 
 def looked_at(topics: Topics):

@@ -196,6 +196,21 @@ def test_topics_are_learned():
     assert len(set(of[:40])) == len(set(of[40:])) == 1 and of[0] != of[40]
 
 
+def test_topics_are_of_all_texts(spark):
+    """Both centres are the means of every text of their form, copies counting once; once of 4,096 texts only."""
+    rng = random.Random(13)
+    prose = [" ".join("abcdefgh"[: rng.randint(2, 8)] for _ in range(rng.randint(8, 20))) for _ in range(3000)]
+    tables = ["\n".join(f"{rng.randrange(10**6)} | {rng.randrange(10**6)}" for _ in range(rng.randint(4, 9))) for _ in range(2500)]
+    df = spark.createDataFrame([(t,) for t in [*prose, *tables, *tables[:50], "", None]], "text string")
+    found = mixing.learned(df, 2)
+    x = [mixing.described(mixing.counts([t.encode() for t in sorted(set(part))])) for part in (prose, tables)]
+    assert np.allclose(found.spread, [v or 1.0 for v in np.concatenate(x).std(axis=0)], atol=1e-5)
+    assert np.allclose(sorted((found.centres * found.spread).tolist()), sorted(p.mean(axis=0).tolist() for p in x), atol=1e-5)
+    again = mixing.learned(df.repartition(5), 2)
+    assert (again.centres == found.centres).all() and (again.spread == found.spread).all()
+    assert not len(mixing.learned(df.limit(0)).centres) and len(mixing.learned(spark.createDataFrame([("a b",)] * 9, "text string")).centres) == 1
+
+
 def test_names_with_tabs_stay_apart(spark):
     rows = [(1, "some words here", "a\tb", "c"), (2, "some words here too", "a", "b\tc")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
