@@ -411,3 +411,38 @@ def test_copies_keep_all_of_their_article(spark):
     df = spark.createDataFrame([(i, f"http://copies.example/{i}", page) for i in range(4)], "page_id long, url string, html string")
     texts = {r["text"] for r in wrapper.extract(df).collect()}
     assert texts == {"Pumps\n\nHow they work.\n\nOne part\n\nAnother\n\n5 bar\n\nrun it\n\nSaid so\n\nbare words"}
+
+
+def test_a_wrapper_is_of_all_pages(spark):
+    """A notice on the 32 pages with the smallest hashes, but on under half of all: content, though once dropped."""
+
+    def made(i, notice):
+        return f"<div><div>Home</div><div><h2>Title {i}</h2><p>{notice}</p><p>Words {i} of the page</p></div></div>"
+
+    def by_hash(pages):
+        return sorted((r["h"], r["t"]) for r in spark.createDataFrame([(t,) for t in pages], "t string").selectExpr("t", "xxhash64(t) as h").collect())
+
+    first = by_hash(made(i, "Open today.") for i in range(200))[:32]
+    pages = [t for _, t in first] + [t for h, t in by_hash(made(i, f"Open on day {i}.") for i in range(200, 400)) if h > first[-1][0]][:48]
+    rows = [(i, f"https://h/{i}", t) for i, t in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(pages) == 80 and all(len(got[i].split("\n\n")) == 3 and "Open " in got[i] and "Home" not in got[i] for i in range(80))
+
+
+def test_wrappers_against_pages_at_hand(spark):
+    """Merged by shape and counted as a table, or page by page: the same wrapper. One long page of its own changes no region."""
+    rng = random.Random(21)
+    plain = [bare(i, rng)[0] for i in range(70)]
+    more = [bare(i, rng)[0].replace("<body>", "<body><div>News</div><ul><li>x</ul>") for i in range(40)]
+    lone = ["<html><body><section><p>" + "long " * 50000 + "</p></section></body></html>"]
+    shapes = Counter(wrapper.shaped(wrapper.ordered(tree(t))) for t in plain + more + lone)
+    pages = sorted(plain + more + lone, key=lambda t: -shapes[wrapper.shaped(wrapper.ordered(tree(t)))])
+    rows = [("h", t) for t in pages] + [("h", t) for t in pages[:50]] + [("few", t) for t in pages[:2]] + [(None, plain[0])]
+    df = spark.createDataFrame(rows, "site string, html string").select("site", "html", F.xxhash64("html").alias("hash"))
+    assert len(shapes) == len(set(shapes.values())) == 3
+    assert {r["site"]: r["wrapper"] for r in wrapper.wrappers(df.repartition(6)).collect()} == {"h": wrapper.induced(pages)}
+    found = wrapper.Wrapper(wrapper.induced(plain))
+    for t in plain + more:
+        slots = wrapper.ordered(tree(t))
+        of = {id(y): x for x, y in wrapper.matching(found.top, slots[0])[1]}
+        assert found.aligned(slots) == found.aligned(slots) == [of.get(id(s)) for s in slots]
