@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quire.llm import simhash
+from quire.llm import mixing, simhash
 
 SYLLABLES = {"en": "the ing ti on er and".split(), "de": "sch tz ung ber ein ich".split()}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,3 +83,33 @@ def test_run_on_nothing_and_on_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/odd/documents.parquet")
     packed = corpus_pipeline.run(spark, f"file://{tmp_path}/odd")
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
+
+
+def test_mixing_learns_from_every_document(spark):
+    """What stays of 5,000 documents, made again with groups of all their texts; once groups were of 4,096 of them."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdeABC012 .,|#\n", [9, 9, 9, 9, 9, *(rng.choice([0, 1, 4]) for _ in range(12))], k=rng.randint(2, 12)))
+    docs = [(i, "x" + " ".join(word() for _ in range(rng.randint(1, 60))), rng.choice(["en", "de"]), f"s{rng.randrange(3)}", 0) for i in range(5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, df, "").collect()}
+    texts = sorted({d[1] for d in docs})
+    x = np.rint(mixing.described(mixing.counts([t.encode() for t in texts])) * mixing.UNIT)
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), mixing.UNIT)
+    points = spark.createDataFrame([tuple(map(int, r)) for r in np.unique(x, axis=0)], ", ".join(f"{f} long" for f in mixing.FEATURES))
+    centres = np.array([r[:-1] for r in sorted(points.selectExpr("*", "xxhash64(*) as h").collect(), key=lambda r: r["h"])[: mixing.TOPICS]], float)
+    for _ in range(mixing.ROUNDS):
+        own = (((x[:, None] - centres) / spread) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[own == k].mean(axis=0) if (own == k).any() else c for k, c in enumerate(centres)])
+    own = dict(zip(texts, (((x[:, None] - centres) / spread) ** 2).sum(axis=2).argmin(axis=1).tolist()))
+    cells = [(d[3], d[2], f"topic-{own[d[1]]}") for d in docs]
+    names, at = np.unique(cells, axis=0, return_inverse=True)
+    n = np.bincount(at, [len(d[1].split()) for d in docs])
+    places, goals = [], []
+    for k, name in enumerate(mixing.MARGINALS):
+        values, place = np.unique(names[:, k], return_inverse=True)
+        goal = mixing.shares(corpus_pipeline.MIXTURE[name], dict(zip(values.tolist(), np.bincount(place, n).tolist())))
+        places.append(place)
+        goals.append(np.array([goal[v] for v in values.tolist()]))
+    ratio = mixing.rake(n, places, goals) / n
+    draws = {r["doc_id"]: r["d"] for r in df.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id, text, 3), 11) / double(9007199254740992) as d").collect()}
+    assert got == {d[0] for d, k in zip(docs, at) if draws[d[0]] < ratio[k] / ratio.max()}
