@@ -329,6 +329,13 @@ def test_tree_matching_against_recursion():
         assert wrapper.matching(a, b, pairs=1)[0] >= 1  # labels alone
 
 
+def test_labels_of_their_own_take_no_place_of_pairs():
+    """Only pairs of equal labels are weighed, so a wide wrapper's other children do not leave the best pair unfound."""
+    wide = "".join(f"<div id='p{i}'><ul><li>x</ul></div>" for i in range(300))
+    a, b = tree("<div id='k'><p>a</p></div>" + wide + "<div id='k'><p>a</p><h2>b</h2><ul><li>c</ul></div>"), tree("<div id='k'><p>a</p><h2>b</h2><ul><li>c</ul></div>" + "".join(f"<div id='q{i}'><ul><li>x</ul></div>" for i in range(10)))
+    assert wrapper.matching(a, b, pairs=100)[0] == plain_matching(a, b) == 6
+
+
 def test_merging_keeps_the_order():
     a, b = tree("<div><p>a</p><ul><li>x</li></ul><h2>t</h2></div>"), tree("<div><p>a</p><h2>c</h2><table><tr><td>k</table></div>")
     wrapper.merge(a, b)
