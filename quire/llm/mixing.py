@@ -8,9 +8,10 @@ the three columns, and `cells` bounds how many combinations there may be (an err
 
 Topic is a column of the input where one is named; else learned: the whole of every text is described by how its bytes
 are made up (its length in words, the length of words, shares of digits, capitals, marks, symbols and line ends), and
-k-means over all texts, equal ones counting once, makes TOPICS groups in at most ROUNDS rounds; a document has the topic
-of the nearest centre. Features are summed as whole multiples of 1 / UNIT, so that no order of tasks changes a centre;
-what reaches the driver of each round is a row a group. Words are runs of bytes that are no ASCII white space.
+k-means over all texts, equal ones counting once, makes TOPICS groups, in rounds until no centre moves (an error where
+ROUNDS do not suffice); a document has the topic of the nearest centre. Features are summed as whole multiples of
+1 / UNIT, so that no order of tasks changes a centre; what reaches the driver of each round is a row a group. Words are
+runs of bytes that are no ASCII white space.
 
 Defined results: null source, lang or topic are values like others, written as (none); null and empty texts have no
 tokens and are kept, for they change no weight; repeated rows share one decision; values without a target keep their
@@ -32,7 +33,7 @@ from .vectors import centres, nearest
 
 NONE, CELLS = "(none)", 200_000
 MARGINALS = ("source", "lang", "topic")
-TOPICS, ROUNDS, UNIT = 6, 12, 1 << 20
+TOPICS, ROUNDS, UNIT = 6, 1000, 1 << 20
 #: Bytes that are looked at together.
 BLOCK = 1 << 18
 #: Kinds of bytes: letters and other, white space, line ends, digits, capitals, marks, symbols.
@@ -98,9 +99,25 @@ class Topics:
         return nearest(described(found) / self.spread, self.centres)
 
 
+def grouped(points: DataFrame, now: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """For each centre with points nearest to it: its number, their number and the sums of their features."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(now), 1 + len(FEATURES)), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x, n = np.stack([c.to_numpy() for c in b.columns[:-1]], axis=1), b.columns[-1].to_numpy()
+                own = (((x[:, None] - now) / scale) ** 2).sum(axis=2).argmin(axis=1)
+                np.add.at(sums, own, np.concatenate([n[:, None], x * n[:, None]], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now))), *(pa.array(c) for c in sums.T)], ["k", "n", *FEATURES])
+
+    parts = mapped(points.select(*FEATURES, "n"), each, ", ".join(f"{c} long" for c in ("k", "n", *FEATURES)))
+    return parts.where("n > 0").groupBy("k").agg(*(F.sum(c) for c in ("n", *FEATURES)))
+
+
 def learned(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
     """Topics of all texts by k-means from the `topics` different descriptions with the smallest hashes; equal texts
-    count once."""
+    count once. Each centre is the mean of the texts nearest to it."""
     some = docs.select(F.col("text").cast("string").alias("t")).where("t is not null and t <> ''").select("t", F.xxhash64("t", F.lit(7)).alias("h"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +135,15 @@ def learned(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> Topi
         apart = np.array([max(0, n * int(q) - s * s) for s, q in zip(sums[:7], sums[7:])], float)
         found.spread = np.where(apart > 0, np.sqrt(apart) / n / UNIT, 1.0)
         first = points.select(*FEATURES).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(topics).collect()
-        now = np.array(first, float)
-        for _ in range(rounds):
-            gaps = [sum((F.pow((F.col(f) - float(at)) / float(w * UNIT), 2.0) for f, at, w in zip(FEATURES, c, found.spread)), F.lit(0.0)) for c in now]
-            own = F.array_min(F.array(*(F.struct(gap.alias("gap"), F.lit(k).alias("k")) for k, gap in enumerate(gaps))))["k"]
-            before, now = now, now.copy()
-            for k, size, *total in points.groupBy(own.alias("k")).agg(F.sum("n"), *(F.sum(F.col(f) * F.col("n")) for f in FEATURES)).collect():
+        now, seen = np.array(first, float), set()
+        # Centres that come again would go round forever: they stand, or rounding decides between equal distances.
+        while now.tobytes() not in seen:
+            if len(seen) == rounds:
+                raise RuntimeError(f"topics did not settle in {rounds} rounds")
+            seen.add(now.tobytes())
+            now = now.copy()
+            for k, size, *total in grouped(points, now, found.spread * UNIT).collect():
                 now[k] = np.array(total, float) / size
-            if (now == before).all():
-                break
         found.centres = now / UNIT / found.spread
     discard(points)
     return found

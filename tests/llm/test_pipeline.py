@@ -113,3 +113,16 @@ def test_mixing_learns_from_every_document(spark):
     ratio = mixing.rake(n, places, goals) / n
     draws = {r["doc_id"]: r["d"] for r in df.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id, text, 3), 11) / double(9007199254740992) as d").collect()}
     assert got == {d[0] for d, k in zip(docs, at) if draws[d[0]] < ratio[k] / ratio.max()}
+
+
+def test_mixing_topics_settle(spark, monkeypatch):
+    """Each centre is the mean of the texts nearest to it; once rounds stopped at 12, near the six texts they begin with."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdeABC012 .,|#\n", [9, 9, 9, 9, 9, *(rng.choice([0, 1, 4]) for _ in range(12))], k=rng.randint(2, 12)))
+    docs = [(i, "x" + " ".join(word() for _ in range(rng.randint(1, 60))), "en", f"s{i % 3}", 0) for i in range(1500)]
+    found, learned = [], mixing.learned
+    monkeypatch.setattr(mixing, "learned", lambda docs: found.append(learned(docs)) or found[0])
+    corpus_pipeline.mix_sources(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    counts = mixing.counts([t.encode() for t in sorted({d[1] for d in docs})])
+    x, own = mixing.described(counts) / found[0].spread, found[0].of(counts)
+    assert np.allclose(found[0].centres, [x[own == k].mean(axis=0) for k in range(mixing.TOPICS)], atol=1e-5)
